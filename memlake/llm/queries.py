@@ -7,12 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from memlake.llm import bpe, line_dedup, outliers, packing, sharding, simhash
+from memlake.llm import bpe, line_dedup, outliers, packing, sharding, simhash, suffix_dedup
 from memlake.llm.common import documents
 
 BYTE_BPE, WORD_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeat_digests(documents(spark, sf_dir))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_report(documents(spark, sf_dir))
 
@@ -38,7 +42,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash, op4_histogram_sort, op5_byte_bpe, op6_robust_outliers, op8_line_dedup, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_simhash, op4_histogram_sort, op5_byte_bpe, op6_robust_outliers, op8_line_dedup, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
