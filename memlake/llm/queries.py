@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from memlake.llm import bpe, line_dedup, outliers, packing, sharding, simhash, suffix_dedup
+from memlake.llm import bpe, license_scan, line_dedup, outliers, packing, sharding, simhash, suffix_dedup, weighted_sampling
 from memlake.llm.common import documents
 
 BYTE_BPE, WORD_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("word_bpe_49k.json")
@@ -21,6 +21,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicate_report(documents(spark, sf_dir))
 
 
+def op3_weighted_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weighted_sampling.fingerprint_neighbours(documents(spark, sf_dir))
+
+
 def op4_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_digests(documents(spark, sf_dir))
 
@@ -33,6 +37,10 @@ def op6_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outliers.verdicts(documents(spark, sf_dir))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(documents(spark, sf_dir)).drop("spans")
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_digests(documents(spark, sf_dir))
 
@@ -42,7 +50,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_simhash, op4_histogram_sort, op5_byte_bpe, op6_robust_outliers, op8_line_dedup, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_simhash, op3_weighted_sampling, op4_histogram_sort, op5_byte_bpe, op6_robust_outliers, op7_license_scan, op8_line_dedup, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
