@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 from memlake.llm.common import bounded_batches
 from memlake.llm.simhash import LOWERED
 
-SAMPLES, SEED = 128, 0x5EED
-#: Words whose draws a worker keeps (three numbers of four bytes a sample each).
-MEMO = 30_000
+SAMPLES, SEED = 64, 0x5EED
+#: The table of draws: parts of a hash that pick rows, and rows.
+PARTS, ROWS = 4, 1 << 16
 EMPTY = "ffff" * SAMPLES
 
 
@@ -45,61 +45,59 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Sampler:
-    def __init__(self, samples: int = SAMPLES):
-        self.samples = samples
-        self.at: dict[bytes, int] = {}
-        self.hash = np.zeros(MEMO, np.uint32)
-        self.draws = np.zeros((3, MEMO, samples), np.float32)  # 1 / r, r, ln c - r
-        self.shift = np.zeros((MEMO, samples), np.float32)
-
-    def _learn(self, words: list[bytes], at: int) -> None:
-        h = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in words), np.uint64, len(words))
-        u = []
-        for k in range(5):
-            step = np.arange(k * self.samples, (k + 1) * self.samples, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-            u.append(((mixed(h[:, None] + step[None, :]) >> np.uint64(40)).astype(np.float32) + np.float32(0.5)) / np.float32(1 << 24))
-        r, c = -np.log(u[0] * u[1]), -np.log(u[2] * u[3])
-        own = slice(at, at + len(words))
-        self.hash[own] = (h >> np.uint64(32)).astype(np.uint32)
-        self.draws[0, own], self.draws[1, own], self.draws[2, own] = 1 / r, r, np.log(c) - r
-        self.shift[own] = u[4]
-
-    def rows(self, words: list[bytes]) -> np.ndarray:
-        """Where the draws of (at most MEMO) words lie."""
-        fresh = [w for w in words if w not in self.at]
-        if len(self.at) + len(fresh) > MEMO:
-            self.at, fresh = {}, words
-        at = len(self.at)
-        for k in range(0, len(fresh), 512):
-            self._learn(fresh[k : k + 512], at + k)
-        self.at.update(zip(fresh, range(at, at + len(fresh)), strict=True))
-        return np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
-
-    def signature(self, text: bytes) -> np.ndarray | None:
-        """Samples as 16-bit numbers; None for a text without words."""
-        counts = Counter(text.translate(LOWERED).split())
-        if not counts:
-            return None
-        words, weights = list(counts), np.log(np.fromiter(counts.values(), np.float32, len(counts)))
-        best = np.full(self.samples, np.inf, np.float32)
-        out = np.zeros(self.samples, np.uint64)
-        cols = np.arange(self.samples)
-        for k in range(0, len(words), 2048):
-            at = self.rows(words[k : k + 2048])
-            over_r, r, c, b = self.draws[0][at], self.draws[1][at], self.draws[2][at], self.shift[at]
-            t = np.floor(weights[k : k + 2048, None] * over_r + b)
-            a = c - r * (t - b)  # the logarithm of c / (y exp(r))
-            least = a.argmin(axis=0)
-            smallest = a[least, cols]
-            won = smallest < best
-            best[won] = smallest[won]
-            key = self.hash[at[least]].astype(np.uint64) ^ (t[least, cols].astype(np.int64).view(np.uint64) << np.uint64(32))
-            out[won] = key[won]
-        return (mixed(out) >> np.uint64(48)).astype(">u2") & np.uint16(0xFFFE)
+    """Draws come from a table: ``PARTS`` times ``ROWS`` rows of SAMPLES / PARTS draws, and each part of a
+    term's hash picks the row of its part. For a term of weight 1 ln w is 0 and so is t, and a's
+    logarithm, ln c + r (b - 1), is in the table too."""
+
+    def __init__(self) -> None:
+        width = SAMPLES // PARTS
+        at = np.arange(PARTS * ROWS * width, dtype=np.uint64) * np.uint64(8) + np.uint64(SEED)
+
+        def uniform(k: int) -> np.ndarray:
+            found = mixed((at + np.uint64(k)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
+            return ((found.astype(np.float32) + np.float32(0.5)) / np.float32(1 << 24)).reshape(PARTS, ROWS, width)
+
+        self.r = -np.log(uniform(0) * uniform(1))  # Gamma(2, 1): the sum of two exponential draws
+        self.log_c = np.log(-np.log(uniform(2) * uniform(3)))
+        self.b = uniform(4)
+        self.single = self.log_c + self.r * (self.b - 1)
+
+    def table(self, counts: Counter) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes of the terms, and (terms x samples) the logarithm of a and t."""
+        h = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in counts), np.uint64, len(counts))
+        weights = np.fromiter(counts.values(), np.float32, len(counts))
+        rows = [((h >> np.uint64(16 * p)) & np.uint64(ROWS - 1)).astype(np.int64) for p in range(PARTS)]
+        a = np.concatenate([self.single[p][rows[p]] for p in range(PARTS)], axis=1)
+        t = np.zeros(a.shape, np.int32)
+        heavy = np.flatnonzero(weights > 1)
+        if len(heavy):
+            r, c, b = (np.concatenate([x[p][rows[p][heavy]] for p in range(PARTS)], axis=1) for x in (self.r, self.log_c, self.b))
+            steps = np.floor(np.log(weights[heavy])[:, None] / r + b)
+            t[heavy], a[heavy] = steps, c - r * (steps - b) - r
+        return h, a, t
+
+    def pick(self, h: np.ndarray, a: np.ndarray, t: np.ndarray) -> str:
+        """The fingerprint: per sample 16 bits of a hash of the term with the smallest a, and its t."""
+        least = a.argmin(axis=0)
+        key = h[least] ^ (t[least, np.arange(SAMPLES)].astype(np.int64).view(np.uint64) << np.uint64(32))
+        return ((mixed(key) >> np.uint64(48)).astype(">u2") & np.uint16(0xFFFE)).astype(">u2").tobytes().hex()
 
     def fingerprint(self, text: bytes) -> str:
-        found = self.signature(text)
-        return "ffff" * self.samples if found is None else found.astype(">u2").tobytes().hex()
+        counts = Counter(text.translate(LOWERED).split())
+        return self.pick(*self.table(counts)) if counts else EMPTY
+
+    def both(self, text: bytes, edited: bytes) -> tuple[str, str]:
+        """Fingerprints of a text and of an edited one: terms of equal weight in both are drawn once."""
+        one, two = Counter(text.translate(LOWERED).split()), Counter(edited.translate(LOWERED).split())
+        if not one or not two:
+            return self.fingerprint(text), self.fingerprint(edited)
+        h, a, t = self.table(one)
+        first = self.pick(h, a, t)
+        same = np.fromiter((two.get(w) == n for w, n in one.items()), bool, len(one))
+        rest = Counter({w: n for w, n in two.items() if one.get(w) != n})
+        parts = [(h[same], a[same], t[same])] if same.any() else []
+        parts += [self.table(rest)] if rest else []
+        return first, self.pick(*(np.concatenate(x) for x in zip(*parts, strict=True)))
 
 
 def likeness(a: str, b: str) -> float:
@@ -136,30 +134,32 @@ def fingerprint_neighbours(docs: DataFrame) -> DataFrame:
     if bounds:
         place = _search(bounds)
     ranged = rows.withColumn("range", place.cast("int"))
-    heads = sorted((r["range"], r["least"].id, r["least"].h) for r in ranged.groupBy("range").agg(F.min(F.struct("id", F.xxhash64("body").alias("h"))).alias("least")).collect())
+    heads = sorted((r["range"], r["least"]) for r in ranged.groupBy("range").agg(F.min("id").alias("least")).collect())
     # The first row of each range also goes to the range before it, as a row that only ends it.
-    before = [(heads[k - 1][0], a, h, r) for k, (r, a, h) in enumerate(heads)]
-    table = spark.createDataFrame(before, "into int, head_id long, head_h long, own int") if before else spark.createDataFrame([], "into int, head_id long, head_h long, own int")
-    ends = ranged.withColumn("h", F.xxhash64("body")).join(F.broadcast(table), (F.col("range") == F.col("own")) & (F.col("id") == F.col("head_id")) & (F.col("h") == F.col("head_h")))
-    ends = ends.select("doc_id", "id", "body", F.col("into").alias("range"), F.lit(1).alias("closes")).dropDuplicates(["range"])
+    table = spark.createDataFrame([(heads[k - 1][0], least, own) for k, (own, least) in enumerate(heads)], "into int, head long, own int")
+    ends = ranged.join(F.broadcast(table), (F.col("range") == F.col("own")) & (F.col("id") == F.col("head")))
+    ends = ends.groupBy(F.col("into").alias("range")).agg(F.min_by(F.struct("doc_id", "id", "body"), F.xxhash64("body")).alias("row")).select("row.*", "range", F.lit(1).alias("closes"))
     both = ranged.select("doc_id", "id", "body", "range", F.lit(0).alias("closes")).unionByName(ends)
     dealt = both.repartitionById(max(partitions, 1), "range").sortWithinPartitions("range", "closes", "id", F.xxhash64("body"))
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
     kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, last = sampler(), None
+        own, prior, row = sampler(), None, None
         for batch in batches:
             out = []
             for doc, body, closes in zip(batch["doc_id"].to_pylist(), batch["body"].to_pylist(), batch["closes"].to_pylist(), strict=True):
-                mark = own.fingerprint(body.encode())
-                if last is not None:
-                    prior, text, first = last
-                    new = edited(text, body)
-                    raw = new.encode()
-                    second = own.fingerprint(raw)
-                    out.append((prior, len(text), hashlib.sha256(raw).hexdigest(), first, second, likeness(first, second), likeness(first, mark)))
-                last = None if closes else (doc, body, mark)
+                if prior is not None:
+                    before, text = prior
+                    raw = edited(text, body).encode()
+                    first, second = own.both(text.encode(), raw)
+                    if row is not None:  # the row before waits for this text's fingerprint
+                        out.append((*row, likeness(row[3], first)))
+                    row = before, len(text), hashlib.sha256(raw).hexdigest(), first, second, likeness(first, second)
+                prior = doc, body
+                if closes:
+                    out.append((*row, likeness(row[3], own.fingerprint(body.encode()))))
+                    prior = row = None
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
