@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from memlake.llm import bpe, license_scan, line_dedup, outliers, packing, sharding, simhash, suffix_dedup, weighted_sampling
+from memlake.llm import bpe, license_scan, line_dedup, outliers, packing, quality, sharding, simhash, suffix_dedup, weighted_sampling
 from memlake.llm.common import documents
 
 BYTE_BPE, WORD_BPE = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("word_bpe_49k.json")
@@ -45,12 +45,16 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_digests(documents(spark, sf_dir))
 
 
+def op9_quality_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")).drop("version")
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), WORD_BPE)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op2_simhash, op3_weighted_sampling, op4_histogram_sort, op5_byte_bpe, op6_robust_outliers, op7_license_scan, op8_line_dedup, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op2_simhash, op3_weighted_sampling, op4_histogram_sort, op5_byte_bpe, op6_robust_outliers, op7_license_scan, op8_line_dedup, op9_quality_bayes, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
