@@ -43,7 +43,7 @@ NO_ID = (1 << 63) - 1
 ODD = 0x55555555
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+def fingerprint(text: bytes, shingle: int = SHINGLE, seed: int = SEED) -> int:
     """Fingerprint of UTF-8 bytes, unsigned."""
     words = text.translate(LOWERED).split()
     if not words:
@@ -52,7 +52,7 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     at = [0, *accumulate(len(w) + 1 for w in words)]
     spans = zip(at, at[shingle:], strict=False) if len(words) >= shingle else [(0, len(joined) + 1)]
     digest, n, counts = xxhash.xxh64_digest, 0, np.zeros(64, np.int64)
-    hashes = [digest(joined[a : b - 1], SEED) for a, b in spans]
+    hashes = [digest(joined[a : b - 1], seed) for a, b in spans]
     for k in range(0, len(hashes), TOGETHER):
         part = hashes[k : k + TOGETHER]
         counts += np.unpackbits(np.frombuffer(b"".join(part), np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
@@ -107,14 +107,14 @@ def cell_links(cells: np.ndarray, fps: np.ndarray, ids: np.ndarray, radius: int)
 
 
 def grid_links(representatives: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Links (a, b) between representatives (id, fingerprint: distinct) that connect exactly what
-    the links of all pairs within radius connect."""
+    """Links (a, b) between representatives (family, id, fingerprint: distinct in a family) that connect
+    exactly what the links of all pairs of a family within radius connect. Families: 0 to 255."""
     if not 0 <= radius <= 3:
         raise ValueError("two halves and neighbours at distance 1 cover a radius of 0 to 3")
     bounded_batches(representatives.sparkSession)
     half = F.explode(F.array(F.struct(F.lit(0).alias("half"), F.shiftrightunsigned("fingerprint", 32).alias("bits")), F.struct(F.lit(1).alias("half"), F.col("fingerprint").bitwiseAND(F.lit(0xFFFFFFFF)).alias("bits"))))
     counts = F.col("bits").bitwiseAND(F.lit(ODD)) + F.shiftright("bits", 1).bitwiseAND(F.lit(ODD))
-    own = representatives.select("id", "fingerprint", half.alias("x")).select("id", "fingerprint", "x.half", "x.bits").select("id", "fingerprint", "half", counts.alias("own"))
+    own = representatives.select("family", "id", "fingerprint", half.alias("x")).select("family", "id", "fingerprint", "x.half", "x.bits").select("id", "fingerprint", (F.col("half") + 2 * F.col("family")).alias("half"), counts.alias("own"))
     # A segment's two bits hold its count, 0 to 2.
     larger = F.expr("transform(filter(sequence(0, 15), k -> (shiftright(own, 2 * k) & 3) < 2), k -> own + shiftleft(1L, 2 * k))")
     cells = own.select("id", "fingerprint", "half", F.explode(F.concat(F.array("own"), larger)).alias("cell")).select(F.col("cell").bitwiseOR(F.shiftleft(F.col("half").cast("long"), 40)).alias("cell"), "id", "fingerprint")
@@ -148,7 +148,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     stash = stash or Stash(docs.sparkSession)
     rows = stash.put("fingerprints", fingerprints(docs, shingle))
     representatives = stash.put("representatives", rows.groupBy("fingerprint").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("id")))
-    links = stash.put("grid", grid_links(representatives, radius))
+    links = stash.put("grid", grid_links(representatives.withColumn("family", F.lit(0)), radius))
     found = components(links, stash)
     named = representatives.join(found, F.col("id") == F.col("node"), "left").select("fingerprint", F.coalesce("component", "id").alias("component"))
     named = stash.put("named", named)
@@ -158,3 +158,110 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 def near_duplicate_report(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint as 16 hexadecimal digits, component_id."""
     return near_duplicates(docs).withColumn("fingerprint", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")))
+
+
+#: Near copies share this part of their 5-word shingles; word fingerprints that look for candidates.
+SIMILARITY, WORDS, FAMILIES = 0.8, 5, 4
+
+
+def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
+    """Distinct hashes of a text's word shingles (fewer words: the whole sequence), sorted."""
+    own = text.translate(LOWERED).split()
+    joined = b" ".join(own)
+    at = [0, *accumulate(len(w) + 1 for w in own)]
+    spans = zip(at, at[words:], strict=False) if len(own) >= words else [(0, len(joined) + 1)] if own else []
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(joined[a : b - 1], SEED) for a, b in spans), np.uint64))
+
+
+def similar_groups(sets: list[np.ndarray], similarity: float) -> list[int]:
+    """Group number (its first member) of each set: connected by Jaccard similarities of at least
+    ``similarity``. Sets meet through a sorted list of all their elements, so a set's overlaps with all
+    others come from one pass over its elements' places."""
+    sizes = np.array([len(s) for s in sets])
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    group, done = [-1] * len(sets), np.zeros(len(sets), bool)
+    for first in range(len(sets)):
+        if group[first] >= 0:
+            continue
+        queue, group[first], done[first] = [first], first, True
+        while queue:
+            own = sets[queue[-1]]
+            here = queue.pop()
+            if not len(own):
+                near = np.flatnonzero((sizes == 0) & ~done)
+            else:
+                a, b = np.searchsorted(flat, own), np.searchsorted(flat, own, "right")
+                wide = np.concatenate([owner[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)])
+                both = np.bincount(wide, minlength=len(sets))
+                near = np.flatnonzero((both >= similarity * (sizes + sizes[here] - both)) & ~done & (both > 0))
+            done[near] = True
+            for x in near.tolist():
+                group[x] = first
+                queue.append(x)
+    return group
+
+
+def near_copies(docs: DataFrame, similarity: float = SIMILARITY, stash: Stash | None = None) -> DataFrame:
+    """Documents that go because a near copy with a smaller id stays: doc_id, text hashes h and g.
+
+    Equal texts are one. Candidates come from SimHash fingerprints of words (each word counts as often as
+    it stands), which near copies share but for a few bits: they link by the grid join in any of FAMILIES
+    independent fingerprints. Within the components of these links the exact Jaccard similarity of
+    5-word shingles decides, so candidates cost time but no clean document."""
+    spark = docs.sparkSession
+    stash = stash or Stash(spark)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [[fingerprint(t, 1, SEED + k) for k in range(FAMILIES)] for t in utf8(batch["text"])]
+        flat = pa.array(np.array(found, np.uint64).view(np.int64).ravel())
+        return pa.RecordBatch.from_arrays([*[batch[c] for c in ("id", "h", "g")], pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, FAMILIES), pa.int32()), flat)], ["id", "h", "g", "marks"])
+
+    keys = [F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), F.col("text")).alias("g")]
+    rows = stash.put("marks", map_batches(docs.select(*keys, "text"), run, "id long, h long, g long, marks array<long>"))
+    texts = stash.put("texts", rows.groupBy("h", "g").agg(F.min("id").alias("id"), F.first("marks").alias("marks")))
+    each = texts.select("id", F.posexplode("marks").alias("family", "fingerprint"))
+    heads = stash.put("heads", each.groupBy("family", "fingerprint").agg(F.min("id").alias("id")))
+    equal = each.join(heads.withColumnRenamed("id", "head"), ["family", "fingerprint"]).where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b"))
+    found = components(stash.put("grid", grid_links(heads).unionByName(equal)), stash)
+    copies = rows.join(texts.select("h", "g", F.col("id").alias("least")), ["h", "g"]).where("id <> least").select("id", "h", "g")
+    own = [F.coalesce("doc_id", F.lit(NO_ID)).eqNullSafe(F.col("node")), F.xxhash64("text") == F.col("h"), F.xxhash64(F.lit(1), F.col("text")) == F.col("g")]
+    members = texts.join(found, F.col("id") == F.col("node")).select("node", "component", "h", "g")
+    bodies = docs.select("doc_id", "text").join(members, own[0] & own[1] & own[2]).select("component", "node", "h", "g", "text").dropDuplicates(["node", "h", "g"])
+    dealt = bodies.repartition("component").sortWithinPartitions("component", "node")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held, sets = None, [], []
+
+        def gone() -> list[tuple[int, int, int]]:
+            return [row for k, (row, g) in enumerate(zip(held, similar_groups(sets, similarity), strict=True)) if g != k] if len(held) > 1 else []
+
+        for batch in batches:
+            out: list[tuple[int, int, int]] = []
+            for component, node, h, g, text in zip(*[batch[c].to_pylist() for c in ("component", "node", "h", "g")], utf8(batch["text"]), strict=True):
+                if component != last:
+                    out += gone()
+                    last, held, sets = component, [], []
+                held.append((node, h, g))
+                sets.append(shingles(text))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["id", "h", "g"])
+        if out := gone():
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["id", "h", "g"])
+
+    bounded_batches(spark)
+    near = dealt.mapInArrow(verify, "id long, h long, g long")
+    near = stash.put("near", near)
+    # A text's other copies go, and all of a text that a near copy replaces.
+    whole = rows.join(near.select("h", "g"), ["h", "g"]).select("id", "h", "g")
+    return copies.unionByName(whole).distinct().select(F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), "h", "g")
+
+
+def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """One document of each group of exact and near copies: the one with the smallest id, whole. Rows that
+    repeat both id and text stay once."""
+    gone = near_copies(docs, similarity).select(F.col("doc_id").alias("_doc"), F.col("h").alias("_h"), F.col("g").alias("_g"))
+    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_h")) & (F.xxhash64(F.lit(1), F.col("text")) == F.col("_g"))
+    left = docs.join(gone, same, "left_anti").withColumns({"_h": F.xxhash64("text"), "_g": F.xxhash64(F.lit(1), F.col("text"))})
+    return left.dropDuplicates(["doc_id", "_h", "_g"]).drop("_h", "_g")

@@ -418,3 +418,23 @@ def without(text: bytes, runs: list[list[int]]) -> bytes:
         out.append(text[last:a])
         last = b
     return b"".join([*out, text[last:]])
+
+
+def dedup_text(docs: DataFrame, stash: Stash | None = None) -> DataFrame:
+    """The documents without repeated bytes; a character that is cut goes whole. Column order stays."""
+    found, rows, partitions, blocks = find_repeats(docs, stash or Stash(docs.sparkSession))
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rest = F.to_json(F.struct(*others), {"ignoreNullFields": "false"}) if others else F.lit("{}")
+    key = F.xxhash64("doc_id", "text")
+    body = docs.select("doc_id", key.alias("key"), F.pmod(key, F.lit(blocks)).cast("int").alias("block"), F.coalesce("text", F.lit("")).cast("binary").alias("body"), F.struct(F.col("text").isNull().alias("none"), rest.alias("rest")).alias("x"))
+    body = body.select("doc_id", "key", "block", "body", F.to_json("x").alias("extra"))
+
+    def run(todo: list[tuple]) -> list[tuple]:
+        return [(doc, extra, without(text, spans(len(text), at).tolist()).decode("utf-8", "ignore")) for doc, _, text, at, extra in todo]
+
+    out = with_positions(body, found, partitions, blocks, run, ["doc_id", "extra", "text"], [pa.int64(), pa.string(), pa.string()], "doc_id long, extra string, text string", "extra")
+    out = out.withColumn("x", F.from_json("extra", "none boolean, rest string"))
+    out = out.withColumn("text", F.when(~F.col("x.none"), F.col("text")))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in others)
+    out = out.withColumn("rest", F.from_json("x.rest", kinds)) if others else out
+    return out.select(*[F.col(f"rest.`{c}`").alias(c) if c in others else F.col(c) for c in docs.columns])
