@@ -29,7 +29,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Line dedup: lines that another document with a smaller id has go."""
-    return _counted(line_dedup.dedup_lines(docs).withColumn("text", F.col("_lines.text"))).select(*docs.columns)
+    found = line_dedup.dedup_lines(docs).select(F.col("row").withField("text", F.col("text")).alias("row"))
+    return _counted(found.select("row.*"))
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +40,7 @@ def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Suffix-array dedup: strings of 200 bytes that occur twice or more go."""
-    return _counted(suffix_dedup.dedup_text(docs)).select(*docs.columns)
+    return _counted(suffix_dedup.dedup_text(docs))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

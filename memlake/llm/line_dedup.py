@@ -83,22 +83,21 @@ def keep_runs(docs: DataFrame, stash: Stash) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, stash: Stash | None = None) -> DataFrame:
-    """The documents with a struct ``_lines``: text without the dropped lines, n_lines, n_dropped."""
+    """Each document's ``row`` (all its columns), ``text`` without the dropped lines, n_lines, n_dropped."""
     stash = stash or Stash(docs.sparkSession)
-    bitmaps = keep_runs(docs.select("doc_id", "text"), stash)
-    bitmaps = bitmaps.select(F.col("doc").alias("_doc"), F.col("version").alias("_version"), F.struct("runs", "n_dropped").alias("_bitmap"))
-    both = docs.withColumn("_v", F.xxhash64("text")).join(bitmaps, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_v") == F.col("_version")), "left")
-    lines = split_lines(F.col("text"))
-    kept = F.flatten(F.transform("_bitmap.runs", lambda r: F.slice(lines, r["start"], r["length"])))
-    text = F.when(F.col("_bitmap").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    found = F.struct(text.alias("text"), F.size(lines).cast("long").alias("n_lines"), F.coalesce("_bitmap.n_dropped", F.lit(0)).cast("long").alias("n_dropped"))
-    return both.withColumn("_lines", found).drop("_v", "_doc", "_version", "_bitmap")
+    bitmaps = keep_runs(docs.select("doc_id", "text"), stash).select("doc", F.col("version").alias("of"), F.struct("runs", "n_dropped").alias("bitmap"))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("version"))
+    both = rows.join(bitmaps, F.col("id").eqNullSafe(F.col("doc")) & (F.col("version") == F.col("of")), "left")
+    lines = split_lines(F.col("row.text"))
+    kept = F.flatten(F.transform("bitmap.runs", lambda r: F.slice(lines, r["start"], r["length"])))
+    text = F.when(F.col("bitmap").isNull(), F.col("row.text")).otherwise(F.array_join(kept, "\n"))
+    return both.select("row", text.alias("text"), F.size(lines).cast("long").alias("n_lines"), F.coalesce("bitmap.n_dropped", F.lit(0)).cast("long").alias("n_dropped"))
 
 
 def line_digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept_sha256 of the remaining lines."""
-    kept = F.coalesce("_lines.text", F.lit(""))
-    return dedup_lines(docs.select("doc_id", "text")).select("doc_id", "_lines.n_lines", "_lines.n_dropped", F.sha2(kept.cast("binary"), 256).alias("kept_sha256"))
+    kept = F.coalesce("text", F.lit(""))
+    return dedup_lines(docs.select("doc_id", "text")).select("row.doc_id", "n_lines", "n_dropped", F.sha2(kept.cast("binary"), 256).alias("kept_sha256"))
 
 
 #: DuckDB: the same by plain grouping.

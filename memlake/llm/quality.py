@@ -20,8 +20,6 @@ count each; an empty table gives no rows; other columns are not read by ``judge`
 from __future__ import annotations
 
 from collections import Counter
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -183,6 +181,6 @@ def judge(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
 
 def keep_good(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
     """The documents that the classifier keeps, whole."""
-    rejected = judge(docs, labels, host, path).where("NOT kept").select(F.col("doc_id").alias("_doc"), F.col("version").alias("_version")).distinct()
-    same = [F.col("doc_id").eqNullSafe(F.col("_doc")), F.xxhash64("text") == F.col("_version")]
-    return docs.join(rejected, reduce(Column.__and__, same), "left_anti")
+    rejected = judge(docs, labels, host, path).where("NOT kept").select("doc_id", "version").distinct().withColumnsRenamed({"doc_id": "doc", "version": "of"})
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("version"))
+    return rows.join(rejected, F.col("id").eqNullSafe(F.col("doc")) & (F.col("version") == F.col("of")), "left_anti").select("row.*")

@@ -226,9 +226,8 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, stash: Stash |
     equal = each.join(heads.withColumnRenamed("id", "head"), ["family", "fingerprint"]).where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b"))
     found = components(stash.put("grid", grid_links(heads).unionByName(equal)), stash)
     copies = rows.join(texts.select("h", "g", F.col("id").alias("least")), ["h", "g"]).where("id <> least").select("id", "h", "g")
-    own = [F.coalesce("doc_id", F.lit(NO_ID)).eqNullSafe(F.col("node")), F.xxhash64("text") == F.col("h"), F.xxhash64(F.lit(1), F.col("text")) == F.col("g")]
-    members = texts.join(found, F.col("id") == F.col("node")).select("node", "component", "h", "g")
-    bodies = docs.select("doc_id", "text").join(members, own[0] & own[1] & own[2]).select("component", "node", "h", "g", "text").dropDuplicates(["node", "h", "g"])
+    members = texts.join(found, F.col("id") == F.col("node")).select("component", F.col("node").alias("id"), "h", "g")
+    bodies = docs.select(*keys, "text").join(members, ["id", "h", "g"]).select("component", F.col("id").alias("node"), "h", "g", "text").dropDuplicates(["node", "h", "g"])
     dealt = bodies.repartition("component").sortWithinPartitions("component", "node")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,7 +260,7 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, stash: Stash |
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One document of each group of exact and near copies: the one with the smallest id, whole. Rows that
     repeat both id and text stay once."""
-    gone = near_copies(docs, similarity).select(F.col("doc_id").alias("_doc"), F.col("h").alias("_h"), F.col("g").alias("_g"))
-    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.xxhash64("text") == F.col("_h")) & (F.xxhash64(F.lit(1), F.col("text")) == F.col("_g"))
-    left = docs.join(gone, same, "left_anti").withColumns({"_h": F.xxhash64("text"), "_g": F.xxhash64(F.lit(1), F.col("text"))})
-    return left.dropDuplicates(["doc_id", "_h", "_g"]).drop("_h", "_g")
+    gone = near_copies(docs, similarity).select(F.col("doc_id").alias("doc"), F.col("h").alias("of_h"), F.col("g").alias("of_g"))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), F.col("text")).alias("g"))
+    left = rows.join(gone, F.col("id").eqNullSafe(F.col("doc")) & (F.col("h") == F.col("of_h")) & (F.col("g") == F.col("of_g")), "left_anti")
+    return left.dropDuplicates(["id", "h", "g"]).select("row.*")
