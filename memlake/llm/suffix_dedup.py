@@ -47,7 +47,7 @@ from memlake.llm.common import Stash, bounded_batches
 
 LENGTH, ORDER = 200, 11
 #: Rounds in which buckets are dealt; each needs its share of the disk that all names would need.
-SAMPLE_PASSES, SUFFIX_PASSES = 2, 4
+SAMPLE_PASSES, SUFFIX_PASSES = 2, 5
 #: Blocks of documents a shuffle partition holds.
 BLOCKS = 4
 BASES = (0x9E3779B97F4A7C15 | 3, 0xD1342543DE82EF95)
@@ -141,21 +141,27 @@ def column(batch: pa.RecordBatch, name: str, kind) -> np.ndarray:
 
 
 def release(stash: Stash) -> None:
-    """Let Spark drop the shuffle files of finished steps, which no plan refers to any more."""
+    """Let Spark drop the shuffle files of finished steps, which no plan refers to any more. The listener
+    bus holds on to its last event, and with it a plan, until another event comes: hence a tiny job."""
+    stash.spark.sparkContext.parallelize([0], 1).count()
     gc.collect()
     stash.spark._jvm.System.gc()
     time.sleep(0.5)
 
 
+def chosen(name: np.ndarray, buckets: int, low: int, high: int) -> np.ndarray:
+    """Places of the names in buckets low to high."""
+    bucket = (name >> np.uint64(33)) % np.uint64(buckets)
+    return np.flatnonzero((bucket >= low) & (bucket < high))
+
+
 def dealt(names: list[np.ndarray], ids: np.ndarray, keys: np.ndarray, doc: np.ndarray, at: np.ndarray, buckets: int, low: int, high: int) -> Iterator[tuple]:
-    """Rows (bucket, names, pack) for the buckets low to high."""
-    bucket = (names[0] >> np.uint64(33)) % np.uint64(buckets)
-    own = np.flatnonzero((bucket >= low) & (bucket < high))
-    if not len(own):
+    """Rows (bucket, names, pack); all names are of the buckets low to high."""
+    if not len(at):
         return
-    bucket = (bucket[own] - np.uint64(low)).astype(np.uint16 if high - low < 65536 else np.int64)
-    order = np.argsort(bucket, kind="stable")
-    own, bucket = own[order], bucket[order]
+    bucket = ((names[0] >> np.uint64(33)) % np.uint64(buckets) - np.uint64(low)).astype(np.uint16 if high - low < 65536 else np.int64)
+    own = np.argsort(bucket, kind="stable")
+    bucket = bucket[own]
     firsts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
     for a, b in zip(firsts, [*firsts[1:], len(own)], strict=True):
         x = own[a:b]
@@ -191,6 +197,8 @@ def sample_names(ids: np.ndarray, keys: np.ndarray, texts: list[bytes], buckets:
         at, piece = at[inside], piece[inside]
         offset = (np.cumsum(size) - size)[piece]
         name = _NAMES[0].at(_NAMES[0].sums(raw), at + offset, SHORT)
+        x = chosen(name, buckets, low, high)
+        name, at, piece, offset = name[x], at[x], piece[x], offset[x]
         more = np.zeros(len(at), np.uint64)  # 0: no LENGTH bytes to go
         full = at <= size[piece] - LENGTH
         more[full] = _NAMES[1].at(_NAMES[1].sums(raw), (at + offset)[full], LENGTH) | np.uint64(1)
@@ -339,16 +347,21 @@ def suffix_names(batch: pa.RecordBatch, buckets: int, low: int, high: int) -> li
     where = offset[run] + first
     group = np.cumsum(size + LENGTH - 1) // WINDOW
     bounds = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-    ones, twos = [], []
+    ones, twos, taken, base = [], [], [], 0
     for a, b in zip(bounds, [*bounds[1:], len(run)], strict=True):
         raw = np.frombuffer(b"".join([body[w : w + m + LENGTH - 1] for w, m in zip(where[a:b].tolist(), size[a:b].tolist(), strict=True)]), np.uint8)
         own = size[a:b]
         at = np.arange(int(own.sum())) + np.repeat(np.arange(b - a) * (LENGTH - 1), own)
-        ones.append(_NAMES[0].at(_NAMES[0].sums(raw), at, LENGTH))
-        twos.append(_NAMES[1].at(_NAMES[1].sums(raw), at, LENGTH) | np.uint64(1))
-    one, two = np.concatenate(ones), np.concatenate(twos)
-    at = np.arange(len(one)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(runs[:, 0], sizes)
-    return list(dealt([one, two], ids, keys, np.repeat(doc, sizes), np.where(asks, ~at, at), buckets, low, high))
+        one = _NAMES[0].at(_NAMES[0].sums(raw), at, LENGTH)
+        x = chosen(one, buckets, low, high)
+        ones.append(one[x])
+        twos.append(_NAMES[1].at(_NAMES[1].sums(raw), at[x], LENGTH) | np.uint64(1))
+        taken.append(base + x)
+        base += len(one)
+    x = np.concatenate(taken)
+    run = np.searchsorted(np.cumsum(sizes), x, "right")  # the run each of them is in
+    at = x - (np.cumsum(sizes) - sizes)[run] + runs[run, 0]
+    return list(dealt([np.concatenate(ones), np.concatenate(twos)], ids, keys, doc[run], np.where(asks[x], ~at, at), buckets, low, high))
 
 
 def spans(n: int, at: np.ndarray) -> np.ndarray:
@@ -424,7 +437,7 @@ def dedup_text(docs: DataFrame, stash: Stash | None = None) -> DataFrame:
     """The documents without repeated bytes; a character that is cut goes whole. Column order stays."""
     found, rows, partitions, blocks = find_repeats(docs, stash or Stash(docs.sparkSession))
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    rest = F.to_json(F.struct(*others), {"ignoreNullFields": "false"}) if others else F.lit("{}")
+    rest = F.to_json(F.struct(*[F.col(f"`{c}`") for c in others]), {"ignoreNullFields": "false"}) if others else F.lit("{}")
     key = F.xxhash64("doc_id", "text")
     body = docs.select("doc_id", key.alias("key"), F.pmod(key, F.lit(blocks)).cast("int").alias("block"), F.coalesce("text", F.lit("")).cast("binary").alias("body"), F.struct(F.col("text").isNull().alias("none"), rest.alias("rest")).alias("x"))
     body = body.select("doc_id", "key", "block", "body", F.to_json("x").alias("extra"))
