@@ -29,7 +29,7 @@ def test_remember_and_belief(lake):
     later = lake.contradict("s1", new.id, "User prefers Rust", as_of_ms=40).first()
     assert later.metadata == f'{{"contradicts":"{new.id}"}}'
     assert rows(lake.recall("s1"), "id") == [(later.id,)]
-    assert [r.event for r in lake.timeline("s1").orderBy("position").collect()] == ["created", "contradicted", "created", "reinforced"]
+    assert [r.event for r in lake.timeline("s1").orderBy("position").collect()] == ["created", "contradicted", "reinforced", "created"]
     lake.invalidate(later.id, as_of_ms=50)
     assert rows(lake.recall("s1"), "id") == []
     assert rows(lake.timeline("nobody"), "event") == []
