@@ -8,7 +8,8 @@
    strength of the global prior; a host's posterior mean shrinks its rate toward the global one, a
    path's posterior mean shrinks its own toward its host's. Sparse sites stay near their parents.
 3. A document's own likelihood ratio is combined with the prior odds of its path, its own share taken
-   out of the path's sums. It is kept if quality is likelier than not and toxicity isn't.
+   out of the path's sums. A document is kept if its quality is at least ``QUALITY_LEAST`` likely and its
+   toxicity at most ``TOXIC_MOST``.
 
 Sums are grouped aggregations with partial sums, so a hot host is a few numbers a task.
 
@@ -32,8 +33,10 @@ from memlake.llm.simhash import LOWERED
 #: Labelled documents that the models are fitted on, at most; words count if this many of them hold one.
 SAMPLE, LEAST = 12_000, 4
 BITS, SEED = 18, 7
-#: L1 penalty, on the mean loss; steps of the fit.
-PENALTY, STEPS = 4e-4, 160
+#: L1 penalty, on the mean loss and on weights of words scaled to unit mean square; steps of the fit.
+PENALTY, STEPS = 1e-3, 160
+#: Least posterior of quality and most of toxicity that a kept document has.
+QUALITY_LEAST, TOXIC_MOST = 0.5, 0.25
 SHAPES = 8
 #: ASCII letters (lower-cased) and all bytes beyond ASCII make words here.
 LETTERS = bytes(LOWERED[b] if chr(b).isalpha() and b < 128 or b >= 128 else 32 for b in range(256))
@@ -78,11 +81,15 @@ def fit(words: list[np.ndarray], shapes: np.ndarray, labels: np.ndarray, default
         rate = np.clip(labels.mean() if len(labels) else default, 0.01, 0.99)
         return Model(*nothing, float(np.log(rate / (1 - rate))))
     flat = np.concatenate(words)
-    used = np.flatnonzero(np.bincount(flat, minlength=1 << BITS) >= LEAST)
+    holders = np.bincount(flat, minlength=1 << BITS)
+    used = np.flatnonzero(holders >= LEAST)
     place = np.full(1 << BITS, -1)
     place[used] = np.arange(len(used))
     row, col = np.repeat(np.arange(len(words)), [len(w) for w in words]), place[flat]
     row, col = row[col >= 0], col[col >= 0]
+    # Unit mean square brings rare words and common ones to one scale, for the steps and for the penalty.
+    unit = np.sqrt(len(labels) / holders[used])
+    value = unit[col]
     middle, scale = shapes.mean(axis=0), shapes.std(axis=0) + 1e-3
     x = (shapes - middle) / scale
     n, m = len(labels), len(used)
@@ -90,15 +97,15 @@ def fit(words: list[np.ndarray], shapes: np.ndarray, labels: np.ndarray, default
     ahead, seen = (w, v, bias), 1.0
     # A bound of the curvature by power iteration on the design.
     probe = np.ones(m) / max(m, 1) ** 0.5
-    for _ in range(8):
-        probe = np.bincount(col, np.bincount(row, probe[col], n)[row], m)
+    for _ in range(12):
+        probe = np.bincount(col, value * np.bincount(row, value * probe[col], n)[row], m)
         size = np.linalg.norm(probe)
         probe /= max(size, 1e-12)
     step = 4 * n / (size + np.linalg.norm(x, 2) ** 2 + n)
     for _ in range(STEPS):
         a, b, c = ahead
-        gap = 1 / (1 + np.exp(-np.clip(np.bincount(row, a[col], n) + x @ b + c, -30, 30))) - labels
-        new_w = a - step * np.bincount(col, gap[row], m) / n
+        gap = 1 / (1 + np.exp(-np.clip(np.bincount(row, value * a[col], n) + x @ b + c, -30, 30))) - labels
+        new_w = a - step * np.bincount(col, value * gap[row], m) / n
         new_w = np.sign(new_w) * np.maximum(np.abs(new_w) - step * PENALTY, 0)
         new_v, new_bias = b - step * x.T @ gap / n, c - step * gap.mean()
         after = (1 + np.sqrt(1 + 4 * seen * seen)) / 2
@@ -106,7 +113,7 @@ def fit(words: list[np.ndarray], shapes: np.ndarray, labels: np.ndarray, default
         ahead = new_w + pace * (new_w - w), new_v + pace * (new_v - v), new_bias + pace * (new_bias - bias)
         w, v, bias = new_w, new_v, new_bias
     own = np.flatnonzero(w)
-    return Model(used[own].astype(np.int32), w[own].astype(np.float32), v.astype(np.float32), middle, scale, float(bias))
+    return Model(used[own].astype(np.int32), (w * unit)[own].astype(np.float32), v.astype(np.float32), middle, scale, float(bias))
 
 
 def train(docs: DataFrame, labels: DataFrame) -> list[Model]:
@@ -175,7 +182,7 @@ def judge(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
         logit = lambda p: F.log(p / (1 - p))
         inside = F.least(F.greatest(F.col(t), F.lit(1e-9)), F.lit(1 - 1e-9))
         both = both.withColumn(f"posterior_{t}", 1 / (1 + F.exp(-(logit(inside) - logit(F.col(f"rate_{t}")) + logit(own)))))
-    kept = (F.col("posterior_quality") >= 0.5) & (F.col("posterior_toxic") < 0.5)
+    kept = (F.col("posterior_quality") >= QUALITY_LEAST) & (F.col("posterior_toxic") <= TOXIC_MOST)
     return both.select("doc_id", "version", "host", "path", F.col("quality").alias("evidence_quality"), F.col("toxic").alias("evidence_toxic"), "posterior_quality", "posterior_toxic", kept.alias("kept"))
 
 
