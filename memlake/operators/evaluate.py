@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from memlake.functions import vectors as V
 from memlake.functions.text import exact_match
+from memlake.providers import Embedder, Generator
 
 
 def chunk_index(turns: DataFrame) -> DataFrame:
@@ -40,3 +41,42 @@ def judged(answers: DataFrame) -> DataFrame:
 def report(results: DataFrame) -> DataFrame:
     """Share of correct answers per mode."""
     return results.groupBy("mode").agg(F.count("*").alias("total"), F.avg(F.col("correct").cast("int")).alias("score"))
+
+
+def top1_contains(results: DataFrame, expected: DataFrame) -> DataFrame:
+    """Whether each query's first result contains the expected text (query_id, expected); no result: no."""
+    first = results.where(F.col("position") == 1).select("query_id", "content")
+    hit = F.coalesce(F.contains(F.lower("content"), F.lower("expected")), F.lit(False))
+    return expected.join(first, "query_id", "left").select("query_id", hit.alias("correct"))
+
+
+def noise_test(signals: DataFrame, noise: DataFrame) -> DataFrame:
+    """Top-1 results of each signal's question among all signals and noise rows, by keyword score.
+
+    ``signals``: query_id, term, content; ``noise``: content. The terms are exploded from the rows' words, so a
+    row meets only the questions whose term it holds and nothing is compared in pairs."""
+    rows = signals.select("content").unionByName(noise.select("content"))
+    words = rows.withColumn("words", F.split(F.lower("content"), r"\s+", -1)).withColumn("n", F.size("words"))
+    held = words.select("content", "n", F.explode("words").alias("term")).groupBy("content", "n", "term").agg(F.count("*").alias("hits"))
+    tf = F.col("hits") / F.col("n")
+    scored = held.join(signals.select("query_id", F.lower("term").alias("term")), "term").withColumn("score", F.least(F.lit(1.0), tf * F.log(1 + F.lit(10.0) / (1 + tf * 10)) * 5))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "content")
+    return scored.withColumn("position", F.row_number().over(order)).where("position = 1").select("query_id", "content", "position")
+
+
+def answered(questions: DataFrame, index: DataFrame, embedder: Embedder, generator: Generator, k: int, mode: str) -> DataFrame:
+    """Questions (question_id, question, expected) answered from their k best chunks of an index (chunk)."""
+    contexts = embedder(index.select(F.xxhash64("chunk").alias("context_id"), F.col("chunk").alias("content")).distinct())
+    asked = embedder(questions.withColumn("content", F.col("question"))).select("question_id", F.col("embedding").alias("question_vector"))
+    best = top_contexts(asked, contexts.select("context_id", "embedding"), k).join(contexts.select("context_id", "content"), "context_id")
+    packed = best.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("position", "content"))).alias("rows"))
+    context = F.array_join(F.transform("rows", lambda r: r["content"]), "\n---\n")
+    prompts = questions.join(packed, "question_id", "left").withColumn("prompt", F.concat(F.lit("Answer from the context alone.\n"), F.coalesce(context, F.lit("")), F.lit("\nQuestion: "), F.col("question")))
+    replies = generator(prompts).withColumn("answer", F.col("reply"))
+    return replies.select("question_id", F.lit(mode).alias("mode"), "answer", "expected", F.coalesce(exact_match(F.col("answer"), F.col("expected")), F.lit(False)).alias("correct"))
+
+
+def ab_test(turns: DataFrame, validated: DataFrame, questions: DataFrame, embedder: Embedder, generator: Generator) -> DataFrame:
+    """Raw chunks (3 contexts) against validated claims (5): answers of both modes, for ``report``."""
+    a = answered(questions, chunk_index(turns), embedder, generator, 3, "chunks")
+    return a.unionByName(answered(questions, claim_index(validated), embedder, generator, 5, "claims"))

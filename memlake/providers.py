@@ -71,3 +71,19 @@ def parsed_conflicts(reply: Column) -> Column:
     span = json_span(reply, "{}")
     found = F.from_json(span, "contradictions array<struct<index:int>>")["contradictions"]
     return F.when(span.isNull() & reply.isNotNull(), F.array().cast("array<int>")).otherwise(F.transform(found, lambda x: x["index"]))
+
+
+#: What an extraction reply holds.
+EXTRACTION = """entities array<struct<id:string,name:string,type:string,aliases:array<string>>>,
+    claims array<struct<id:string,canonical_text:string,subject_entity_id:string,subject_text:string,predicate:string,object_text:string,
+    object_entity_id:string,memory_type:string,explicitness:string,polarity:string,status:string,confidence:double,
+    temporal:struct<raw_text:string,normalized_start:string,normalized_end:string,granularity:string,relation_type:string,relation_to_event:string>,
+    source_turn_index:int,linked_claim_ids:array<string>,extraction_confidence:double,entity_resolution_confidence:double,
+    temporal_resolution_confidence:double,support_count:bigint,source_directness:double>>, anchor_conversation_time string"""
+
+
+def extracted(replies: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Claims (with window_id and pos) and entities of extraction replies (window_id, reply)."""
+    read = replies.select("window_id", F.from_json(unfenced(F.col("reply")), EXTRACTION).alias("x"))
+    claims = read.select("window_id", F.posexplode("x.claims").alias("pos", "c")).select("window_id", "pos", "c.*")
+    return claims, read.select("window_id", F.explode("x.entities").alias("e")).select("window_id", "e.*")

@@ -27,6 +27,7 @@ class Store:
         return with_defaults(self.read("memories", schema))
 
 
-def save_bucketed(rows: DataFrame, table: str, buckets: int, owner: str = "owner_id") -> None:
+def save_bucketed(rows: DataFrame, table: str, buckets: int, owner: str = "owner_id", path: str | None = None) -> None:
     """A catalogue table bucketed and sorted by owner: recall, stats and folds on it need no exchange."""
-    rows.write.mode("overwrite").bucketBy(buckets, owner).sortBy(owner, "ts_ms").saveAsTable(table)
+    writer = rows.write.mode("overwrite").bucketBy(buckets, owner).sortBy(owner, "ts_ms")
+    (writer.option("path", path) if path else writer).saveAsTable(table)
