@@ -48,8 +48,9 @@ from memlake.llm.common import Stash, bounded_batches
 LENGTH, ORDER = 200, 11
 #: Rounds in which buckets are dealt; each needs its share of the disk that all names would need.
 SAMPLE_PASSES, SUFFIX_PASSES = 2, 5
-#: Blocks of documents a shuffle partition holds.
-BLOCKS = 4
+#: Blocks of documents a partition holds; bytes of input (as the plan estimates it) for a partition at
+#: least. Every bucket sends a row to every block, so neither is made finer than the data call for.
+BLOCKS, PARTITION_BYTES = 4, 4 << 20
 BASES = (0x9E3779B97F4A7C15 | 3, 0xD1342543DE82EF95)
 
 
@@ -393,7 +394,8 @@ def find_repeats(docs: DataFrame, stash: Stash) -> tuple[list[DataFrame], DataFr
     """Positions that start repeats (complements, below 0), the keyed documents, partitions and blocks."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    estimate = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    partitions = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-estimate // PARTITION_BYTES)))
     blocks = partitions * BLOCKS
     rows = keyed(docs, blocks)
 
