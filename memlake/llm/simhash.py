@@ -175,32 +175,40 @@ def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
 
 def similar_groups(sets: list[np.ndarray], similarity: float) -> list[int]:
     """Group number (its first member) of each set: connected by Jaccard similarities of at least
-    ``similarity``. Sets meet through a sorted list of all their elements, so a set's overlaps with all
-    others come from one pass over its elements' places."""
+    ``similarity``. Sets meet through a sorted list of the elements of those that have no group yet, so
+    a set's overlaps with all of them come from its elements' places there; the list is made anew
+    whenever half of its sets have found a group."""
     sizes = np.array([len(s) for s in sets])
-    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-    order = np.argsort(flat, kind="stable")
-    flat, owner = flat[order], owner[order]
-    group, done = [-1] * len(sets), np.zeros(len(sets), bool)
+    group = np.full(len(sets), -1)
+
+    def listed() -> tuple[np.ndarray, np.ndarray, int]:
+        left = np.flatnonzero(group < 0)
+        flat, owner = np.concatenate([sets[k] for k in left] or [np.zeros(0, np.uint64)]), np.repeat(left, sizes[left])
+        order = np.argsort(flat, kind="stable")
+        return flat[order], owner[order], len(left)
+
+    flat, owner, held = listed()
+    open_ = len(sets)
     for first in range(len(sets)):
         if group[first] >= 0:
             continue
-        queue, group[first], done[first] = [first], first, True
+        queue, group[first] = [first], first
+        open_ -= 1
         while queue:
-            own = sets[queue[-1]]
+            if 2 * open_ < held:
+                flat, owner, held = listed()
             here = queue.pop()
-            if not len(own):
-                near = np.flatnonzero((sizes == 0) & ~done)
+            if not sizes[here]:
+                near = np.flatnonzero((sizes == 0) & (group < 0))
             else:
-                a, b = np.searchsorted(flat, own), np.searchsorted(flat, own, "right")
-                wide = np.concatenate([owner[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)])
-                both = np.bincount(wide, minlength=len(sets))
-                near = np.flatnonzero((both >= similarity * (sizes + sizes[here] - both)) & ~done & (both > 0))
-            done[near] = True
-            for x in near.tolist():
-                group[x] = first
-                queue.append(x)
-    return group
+                a, b = np.searchsorted(flat, sets[here]), np.searchsorted(flat, sets[here], "right")
+                met = [owner[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True) if x < y]
+                both = np.bincount(np.concatenate(met), minlength=len(sets)) if met else np.zeros(len(sets), np.int64)
+                near = np.flatnonzero((both > 0) & (group < 0) & (both >= similarity * (sizes + sizes[here] - both)))
+            group[near] = first
+            open_ -= len(near)
+            queue += near.tolist()
+    return group.tolist()
 
 
 def near_copies(docs: DataFrame, similarity: float = SIMILARITY, stash: Stash | None = None) -> DataFrame:
