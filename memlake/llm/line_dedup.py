@@ -28,8 +28,8 @@ from memlake.llm.common import Stash
 MIN_CHARS = 10
 BLANK = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Coarse buckets for finding hot keys; salts a hot key is dealt to.
-BUCKETS, SALTS = 1 << 16, 64
+#: Coarse buckets for finding hot keys; salts a hot key is dealt to, a shuffle partition.
+BUCKETS, SALTS = 1 << 16, 4
 
 
 def split_lines(text: Column) -> Column:
@@ -65,7 +65,7 @@ def keep_runs(docs: DataFrame, stash: Stash) -> DataFrame:
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     lines = stash.put("lines", line_table(docs))
     hot = F.broadcast(hot_keys(lines, partitions).withColumn("hot", F.lit(True)))
-    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("doc"), F.lit(SALTS))).otherwise(-1)
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("doc"), F.lit(SALTS * partitions))).otherwise(-1)
     dealt = lines.join(hot, ["h", "g"], "left").withColumn("salt", salt).drop("hot").repartitionByRange(partitions, "h", "g", "salt")
     run = Window.partitionBy("h", "g", "salt").orderBy(F.asc_nulls_first("doc"), "pos")
     seen = dealt.withColumn("first", F.struct(F.first("doc").over(run).alias("doc")))
