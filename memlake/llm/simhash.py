@@ -70,14 +70,14 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return map_batches(docs.select("doc_id", "text"), run, "doc_id long, fingerprint long")
 
 
-def spanning_links(fingerprints: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Links of a spanning forest of the graph of all pairs within radius, as positions."""
+def spanning_links(fingerprints: np.ndarray, guards: np.ndarray, radius: int, guard: int) -> list[tuple[int, int]]:
+    """Links of a spanning forest of the graph of all pairs within both radii, as positions."""
     links, rest = [], np.arange(len(fingerprints))
     while len(rest):
         queue, rest = [int(rest[0])], rest[1:]
         while queue and len(rest):
             at = queue.pop()
-            near = np.bitwise_count(fingerprints[rest] ^ fingerprints[at]) <= radius
+            near = (np.bitwise_count(fingerprints[rest] ^ fingerprints[at]) <= radius) & (np.bitwise_count(guards[rest] ^ guards[at]) <= guard)
             if near.any():
                 found = rest[near].tolist()
                 links += [(at, x) for x in found]
@@ -86,52 +86,55 @@ def spanning_links(fingerprints: np.ndarray, radius: int) -> list[tuple[int, int
     return links
 
 
-def cell_links(cells: np.ndarray, fps: np.ndarray, ids: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links among rows that are sorted by cell: all verified pairs of rows up to three places apart,
-    and a spanning forest of each cell of over four rows."""
+def cell_links(cells: np.ndarray, fps: np.ndarray, guards: np.ndarray, ids: np.ndarray, probes: np.ndarray, radius: int, guard: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links among rows that are sorted by cell: verified pairs of rows up to three places apart, and a
+    spanning forest of each cell of over four rows. Two probes needn't meet: if they are within
+    radius, one is in the other's cell in one of the halves."""
     a, b = [], []
+    firsts = np.flatnonzero(np.append(True, cells[1:] != cells[:-1]))
+    ends = np.append(firsts[1:], len(cells))
+    large = np.repeat(ends - firsts > 4, ends - firsts)
     for step in (1, 2, 3):
-        same = np.flatnonzero(cells[step:] == cells[:-step])
-        near = same[np.bitwise_count(fps[same] ^ fps[same + step]) <= radius]
+        same = np.flatnonzero((cells[step:] == cells[:-step]) & ~large[step:] & ~(probes[step:] & probes[:-step]))
+        near = same[(np.bitwise_count(fps[same] ^ fps[same + step]) <= radius) & (np.bitwise_count(guards[same] ^ guards[same + step]) <= guard)]
         a.append(ids[near])
         b.append(ids[near + step])
-    firsts = np.flatnonzero(np.append(True, cells[1:] != cells[:-1]))
-    ends = np.append(firsts[1:], len(cells))
     for k in np.flatnonzero(ends - firsts > 4):
-        own, at = np.unique(fps[firsts[k] : ends[k]], return_index=True)
-        if links := spanning_links(own, radius):
-            x, y = np.array(links).T
-            a.append(ids[firsts[k] + at[x]])
-            b.append(ids[firsts[k] + at[y]])
+        x = slice(firsts[k], ends[k])
+        if not probes[x].all() and (links := spanning_links(fps[x], guards[x], radius, guard)):
+            p, q = np.array(links).T
+            a.append(ids[x][p])
+            b.append(ids[x][q])
     return np.concatenate(a), np.concatenate(b)
 
 
-def grid_links(representatives: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Links (a, b) between representatives (family, id, fingerprint: distinct in a family) that connect
-    exactly what the links of all pairs of a family within radius connect. Families: 0 to 255."""
+def grid_links(representatives: DataFrame, radius: int = RADIUS, guard: int = 64) -> DataFrame:
+    """Links (a, b) between representatives (family, id, fingerprint, guard) that connect exactly what the
+    links of all pairs of a family connect whose fingerprints differ in at most ``radius`` bits and
+    whose guards, a second fingerprint, in at most ``guard``. Families: 0 to 255."""
     if not 0 <= radius <= 3:
         raise ValueError("two halves and neighbours at distance 1 cover a radius of 0 to 3")
     bounded_batches(representatives.sparkSession)
     half = F.explode(F.array(F.struct(F.lit(0).alias("half"), F.shiftrightunsigned("fingerprint", 32).alias("bits")), F.struct(F.lit(1).alias("half"), F.col("fingerprint").bitwiseAND(F.lit(0xFFFFFFFF)).alias("bits"))))
     counts = F.col("bits").bitwiseAND(F.lit(ODD)) + F.shiftright("bits", 1).bitwiseAND(F.lit(ODD))
-    own = representatives.select("family", "id", "fingerprint", half.alias("x")).select("family", "id", "fingerprint", "x.half", "x.bits").select("id", "fingerprint", (F.col("half") + 2 * F.col("family")).alias("half"), counts.alias("own"))
+    own = representatives.select("family", "id", "fingerprint", "guard", half.alias("x")).select("family", "id", "fingerprint", "guard", "x.half", "x.bits").select("id", "fingerprint", "guard", (F.col("half") + 2 * F.col("family")).alias("half"), counts.alias("own"))
     # A segment's two bits hold its count, 0 to 2.
     larger = F.expr("transform(filter(sequence(0, 15), k -> (shiftright(own, 2 * k) & 3) < 2), k -> own + shiftleft(1L, 2 * k))")
-    cells = own.select("id", "fingerprint", "half", F.explode(F.concat(F.array("own"), larger)).alias("cell")).select(F.col("cell").bitwiseOR(F.shiftleft(F.col("half").cast("long"), 40)).alias("cell"), "id", "fingerprint")
+    cells = own.select("id", "fingerprint", "guard", "half", F.posexplode(F.concat(F.array("own"), larger)).alias("n", "cell")).select(F.col("cell").bitwiseOR(F.shiftleft(F.col("half").cast("long"), 40)).alias("cell"), "id", "fingerprint", "guard", (F.col("n") > 0).alias("probe"))
     dealt = cells.repartition("cell").sortWithinPartitions("cell", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
 
         def links(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-            cells, ids, fps = (np.concatenate(x) for x in zip(*parts, strict=True))
-            a, b = cell_links(cells, fps.view(np.uint64), ids, radius)
+            cells, ids, fps, guards, probes = (np.concatenate(x) for x in zip(*parts, strict=True))
+            a, b = cell_links(cells, fps.view(np.uint64), guards.view(np.uint64), ids, probes, radius, guard)
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            new = tuple(batch[c].to_numpy() for c in ("cell", "id", "fingerprint"))
+            new = tuple(batch[c].to_numpy(zero_copy_only=False) for c in ("cell", "id", "fingerprint", "guard", "probe"))
             cut = int(np.searchsorted(new[0], new[0][-1]))  # the last cell may go on
             if cut or (held and held[-1][0][-1] != new[0][0]):
                 yield links([*held, tuple(x[:cut] for x in new)] if cut else held)
@@ -148,7 +151,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     stash = stash or Stash(docs.sparkSession)
     rows = stash.put("fingerprints", fingerprints(docs, shingle))
     representatives = stash.put("representatives", rows.groupBy("fingerprint").agg(F.min(F.coalesce("doc_id", F.lit(NO_ID))).alias("id")))
-    links = stash.put("grid", grid_links(representatives.withColumn("family", F.lit(0)), radius))
+    links = stash.put("grid", grid_links(representatives.withColumns({"family": F.lit(0), "guard": F.lit(0).cast("long")}), radius))
     found = components(links, stash)
     named = representatives.join(found, F.col("id") == F.col("node"), "left").select("fingerprint", F.coalesce("component", "id").alias("component"))
     named = stash.put("named", named)
@@ -162,6 +165,9 @@ def near_duplicate_report(docs: DataFrame) -> DataFrame:
 
 #: Near copies share this part of their 5-word shingles; word fingerprints that look for candidates.
 SIMILARITY, WORDS, FAMILIES = 0.8, 5, 4
+#: Bits in which candidates' fingerprints of 5-word shingles may differ. At a similarity of 0.8 ten are
+#: expected with a deviation of three (over 22: odds of 1e-5), of unrelated texts 32.
+GUARD = 22
 
 
 def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
@@ -183,7 +189,7 @@ def similar_groups(sets: list[np.ndarray], similarity: float) -> list[int]:
 
     def listed() -> tuple[np.ndarray, np.ndarray, int]:
         left = np.flatnonzero(group < 0)
-        flat, owner = np.concatenate([sets[k] for k in left] or [np.zeros(0, np.uint64)]), np.repeat(left, sizes[left])
+        flat, owner = np.concatenate([sets[k] for k in left] or [np.zeros(0, np.uint64)]), np.repeat(left.astype(np.int32), sizes[left])
         order = np.argsort(flat, kind="stable")
         return flat[order], owner[order], len(left)
 
@@ -202,8 +208,11 @@ def similar_groups(sets: list[np.ndarray], similarity: float) -> list[int]:
                 near = np.flatnonzero((sizes == 0) & (group < 0))
             else:
                 a, b = np.searchsorted(flat, sets[here]), np.searchsorted(flat, sets[here], "right")
-                met = [owner[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True) if x < y]
-                both = np.bincount(np.concatenate(met), minlength=len(sets)) if met else np.zeros(len(sets), np.int64)
+                both, upto = np.zeros(len(sets), np.int64), np.cumsum(b - a)
+                for part in np.split(np.arange(len(a)), np.flatnonzero(np.diff(upto >> 20)) + 1):  # about a million places at a time
+                    wide = b[part] - a[part]
+                    places = np.arange(int(wide.sum())) + np.repeat(a[part] - (np.cumsum(wide) - wide), wide)
+                    both += np.bincount(owner[places], minlength=len(sets))
                 near = np.flatnonzero((both > 0) & (group < 0) & (both >= similarity * (sizes + sizes[here] - both)))
             group[near] = first
             open_ -= len(near)
@@ -216,23 +225,22 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, stash: Stash |
 
     Equal texts are one. Candidates come from SimHash fingerprints of words (each word counts as often as
     it stands), which near copies share but for a few bits: they link by the grid join in any of FAMILIES
-    independent fingerprints. Within the components of these links the exact Jaccard similarity of
+    independent fingerprints if their fingerprints of 5-word shingles aren't far apart either (GUARD), so
+    that short unrelated texts don't chain up. Within the components of these links the exact Jaccard similarity of
     5-word shingles decides, so candidates cost time but no clean document."""
     spark = docs.sparkSession
     stash = stash or Stash(spark)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [[fingerprint(t, 1, SEED + k) for k in range(FAMILIES)] for t in utf8(batch["text"])]
+        found = [[*[fingerprint(t, 1, SEED + k) for k in range(FAMILIES)], fingerprint(t, WORDS)] for t in utf8(batch["text"])]
         flat = pa.array(np.array(found, np.uint64).view(np.int64).ravel())
-        return pa.RecordBatch.from_arrays([*[batch[c] for c in ("id", "h", "g")], pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, FAMILIES), pa.int32()), flat)], ["id", "h", "g", "marks"])
+        return pa.RecordBatch.from_arrays([*[batch[c] for c in ("id", "h", "g")], pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, FAMILIES + 1), pa.int32()), flat)], ["id", "h", "g", "marks"])
 
     keys = [F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), F.col("text")).alias("g")]
     rows = stash.put("marks", map_batches(docs.select(*keys, "text"), run, "id long, h long, g long, marks array<long>"))
     texts = stash.put("texts", rows.groupBy("h", "g").agg(F.min("id").alias("id"), F.first("marks").alias("marks")))
-    each = texts.select("id", F.posexplode("marks").alias("family", "fingerprint"))
-    heads = stash.put("heads", each.groupBy("family", "fingerprint").agg(F.min("id").alias("id")))
-    equal = each.join(heads.withColumnRenamed("id", "head"), ["family", "fingerprint"]).where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b"))
-    found = components(stash.put("grid", grid_links(heads).unionByName(equal)), stash)
+    each = texts.select("id", F.element_at("marks", -1).alias("guard"), F.posexplode(F.slice("marks", 1, FAMILIES)).alias("family", "fingerprint"))
+    found = components(stash.put("grid", grid_links(each, RADIUS, GUARD).distinct()), stash)
     copies = rows.join(texts.select("h", "g", F.col("id").alias("least")), ["h", "g"]).where("id <> least").select("id", "h", "g")
     members = texts.join(found, F.col("id") == F.col("node")).select("component", F.col("node").alias("id"), "h", "g")
     bodies = docs.select(*keys, "text").join(members, ["id", "h", "g"]).select("component", F.col("id").alias("node"), "h", "g", "text").dropDuplicates(["node", "h", "g"])

@@ -142,7 +142,7 @@ def test_grid_loses_no_link(spark):
             marks.add(base ^ sum(1 << int(f) for f in flips))
     marks = sorted(marks)
     signed = np.array(marks, np.uint64).view(np.int64).tolist()
-    df = spark.createDataFrame([(0, k, m) for k, m in enumerate(signed)], "family int, id long, fingerprint long")
+    df = spark.createDataFrame([(0, k, m, 0) for k, m in enumerate(signed)], "family int, id long, fingerprint long, guard long")
     stash = Stash(spark)
     found = dict(rows(components.components(simhash.grid_links(df), stash)))
     x = np.array(marks, np.uint64)
