@@ -168,6 +168,13 @@ SIMILARITY, WORDS, FAMILIES = 0.8, 5, 4
 #: Bits in which candidates' fingerprints of 5-word shingles may differ. At a similarity of 0.8 ten are
 #: expected with a deviation of three (over 22: odds of 1e-5), of unrelated texts 32.
 GUARD = 22
+#: Min-hash bands over 5-word shingles, and minima in each. A band agrees with odds of J^MINIMA at a Jaccard
+#: similarity of J, whatever the edit was: at 0.8 a pair that no band proposes has odds of
+#: (1 - 0.8^5)^48 = 5e-9, at 0.1 one that some band does has odds of 5e-4.
+BANDS, MINIMA = 48, 5
+_ODD = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * MINIMA), np.uint64) * np.uint64(2) + np.uint64(1)
+#: Shingles multiplied together: the products stay in the processor's cache.
+PRODUCTS = 128
 
 
 def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
@@ -179,6 +186,24 @@ def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(joined[a : b - 1], SEED) for a, b in spans), np.uint64))
 
 
+def bands(found: np.ndarray) -> np.ndarray:
+    """Band keys of distinct shingle hashes; sets that share one are candidates. No shingles: no keys."""
+    if not len(found):
+        return np.zeros(0, np.uint64)
+    least = np.full(BANDS * MINIMA, (1 << 64) - 1, np.uint64)
+    for k in range(0, len(found), PRODUCTS):  # an odd factor permutes the hashes
+        np.minimum(least, (found[k : k + PRODUCTS, None] * _ODD[0]).min(axis=0), out=least)
+    least ^= least >> np.uint64(29)
+    return (least * _ODD[1]).reshape(BANDS, MINIMA).sum(axis=1, dtype=np.uint64)
+
+
+def band_links(texts: DataFrame) -> DataFrame:
+    """Links (a, b) from each text (id, bands) to the one of smallest id in each of its bands."""
+    keys = texts.select("id", F.explode("bands").alias("band"))
+    firsts = keys.groupBy("band").agg(F.min("id").alias("b"), F.max("id").alias("last")).where("b < last").select("band", "b")
+    return keys.join(firsts, "band").where("id <> b").select(F.col("id").alias("a"), "b")
+
+
 def similar_groups(sets: list[np.ndarray], similarity: float) -> list[int]:
     """Group number (its first member) of each set: connected by Jaccard similarities of at least
     ``similarity``. Sets meet through a sorted list of the elements of those that have no group yet, so
@@ -223,24 +248,32 @@ def similar_groups(sets: list[np.ndarray], similarity: float) -> list[int]:
 def near_copies(docs: DataFrame, similarity: float = SIMILARITY, stash: Stash | None = None) -> DataFrame:
     """Documents that go because a near copy with a smaller id stays: doc_id, text hashes h and g.
 
-    Equal texts are one. Candidates come from SimHash fingerprints of words (each word counts as often as
-    it stands), which near copies share but for a few bits: they link by the grid join in any of FAMILIES
-    independent fingerprints if their fingerprints of 5-word shingles aren't far apart either (GUARD), so
-    that short unrelated texts don't chain up. Within the components of these links the exact Jaccard similarity of
-    5-word shingles decides, so candidates cost time but no clean document."""
+    Equal texts are one. Candidates come in two ways. SimHash fingerprints of words (each word counts as often
+    as it stands) are shared but for a few bits by copies with scattered edits: they link by the grid join in
+    any of FAMILIES independent fingerprints if their fingerprints of 5-word shingles aren't far apart either
+    (GUARD), so that short unrelated texts don't chain up. Passages that were added, cut or replaced move more
+    bits than that; min-hash bands of the 5-word shingles propose these, as their odds depend on the similarity
+    alone. Within the components of all links the exact Jaccard similarity of 5-word shingles decides, so
+    candidates cost time but no clean document."""
     spark = docs.sparkSession
     stash = stash or Stash(spark)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [[*[fingerprint(t, 1, SEED + k) for k in range(FAMILIES)], fingerprint(t, WORDS)] for t in utf8(batch["text"])]
+        texts = utf8(batch["text"])
+        found = [[*[fingerprint(t, 1, SEED + k) for k in range(FAMILIES)], fingerprint(t, WORDS)] for t in texts]
         flat = pa.array(np.array(found, np.uint64).view(np.int64).ravel())
-        return pa.RecordBatch.from_arrays([*[batch[c] for c in ("id", "h", "g")], pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, FAMILIES + 1), pa.int32()), flat)], ["id", "h", "g", "marks"])
+        marks = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, FAMILIES + 1), pa.int32()), flat)
+        keys = [bands(shingles(t)).view(np.int64) for t in texts]
+        ends = np.cumsum([0, *map(len, keys)])
+        banded = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys)))
+        return pa.RecordBatch.from_arrays([*[batch[c] for c in ("id", "h", "g")], marks, banded], ["id", "h", "g", "marks", "bands"])
 
     keys = [F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), F.col("text")).alias("g")]
-    rows = stash.put("marks", map_batches(docs.select(*keys, "text"), run, "id long, h long, g long, marks array<long>"))
-    texts = stash.put("texts", rows.groupBy("h", "g").agg(F.min("id").alias("id"), F.first("marks").alias("marks")))
+    rows = stash.put("marks", map_batches(docs.select(*keys, "text"), run, "id long, h long, g long, marks array<long>, bands array<long>"))
+    texts = stash.put("texts", rows.groupBy("h", "g").agg(F.min("id").alias("id"), F.first("marks").alias("marks"), F.first("bands").alias("bands")))
     each = texts.select("id", F.element_at("marks", -1).alias("guard"), F.posexplode(F.slice("marks", 1, FAMILIES)).alias("family", "fingerprint"))
-    found = components(stash.put("grid", grid_links(each, RADIUS, GUARD).distinct()), stash)
+    links = grid_links(each, RADIUS, GUARD).unionByName(band_links(texts)).distinct()
+    found = components(stash.put("grid", links), stash)
     copies = rows.join(texts.select("h", "g", F.col("id").alias("least")), ["h", "g"]).where("id <> least").select("id", "h", "g")
     members = texts.join(found, F.col("id") == F.col("node")).select("component", F.col("node").alias("id"), "h", "g")
     bodies = docs.select(*keys, "text").join(members, ["id", "h", "g"]).select("component", F.col("id").alias("node"), "h", "g", "text").dropDuplicates(["node", "h", "g"])

@@ -176,6 +176,23 @@ def test_keep_one(docs, spark):
     assert clean <= set(kept)
 
 
+def test_keep_one_after_edits_of_a_passage(spark):
+    rng = np.random.default_rng(11)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    words = lambda n: rng.choice(vocabulary, n).tolist()
+    own, due = [], 0
+    for k in range(90):
+        base = words(int(rng.integers(101, 400)))
+        n, at = len(base), int(rng.integers(0, len(base) * 9 // 10))
+        other = [base + words(n * 18 // 100), base[: n - n * 18 // 100], base[:at] + words(n * 8 // 100) + base[at + n * 8 // 100 :]][k % 3]
+        a, b = (set(simhash.shingles(" ".join(x).encode()).tolist()) for x in (base, other))
+        due += len(a & b) >= 0.8 * len(a | b)
+        own += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(other))]
+    assert due >= 80
+    gone = [d for d, _, _ in rows(simhash.near_copies(frame(spark, own)))]
+    assert len(gone) == due and all(d % 2 for d in gone)
+
+
 def test_similar_groups_is_exact():
     own = [t or "" for _, t in texts()]
     sets = [simhash.shingles(t.encode()) for t in own]
