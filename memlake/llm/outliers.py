@@ -35,8 +35,8 @@ KEEP, STEPS, LEAST = 0.75, 3, 50
 #: Least standard deviation of each rate: log word length, root of symbols a word, of repeated lines
 #: a line, of repeated words a word.
 FLOORS = (0.06, 0.12, 0.15, 0.15)
-#: Squared Mahalanobis distance: the chi-square quantile of 1 - 1e-7 at four degrees of freedom.
-CUTOFF = 38.2
+#: Squared Mahalanobis distance: the chi-square quantile of 1 - 1e-4 at four degrees of freedom.
+CUTOFF = 23.5
 P = len(FLOORS)
 
 

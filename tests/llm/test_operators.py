@@ -176,6 +176,15 @@ def test_keep_one(docs, spark):
     assert clean <= set(kept)
 
 
+def test_symbol_rich_text_is_an_outlier(spark):
+    rng = np.random.default_rng(5)
+    body = lambda: ["".join(rng.choice(list("abcdefgh"), int(k))) for k in rng.integers(2, 9, 120)]
+    own = [(k, " ".join(body())) for k in range(80)]
+    own.append((80, " ".join(w + "|" * (k % 5 < 2) for k, w in enumerate(body()))))  # 0.4 symbols a word
+    found = {r.doc_id: r.kept for r in outliers.verdicts(frame(spark, own)).collect()}
+    assert not found[80] and all(found[k] for k in range(80))
+
+
 def test_keep_one_after_edits_of_a_passage(spark):
     rng = np.random.default_rng(11)
     vocabulary = [f"w{k}" for k in range(3000)]
