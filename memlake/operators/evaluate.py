@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,14 +26,20 @@ def claim_index(validated: DataFrame) -> DataFrame:
 def top_contexts(questions: DataFrame, contexts: DataFrame, k: int = 3, max_questions: int = 10_000) -> DataFrame:
     """The k most similar contexts (context_id, embedding) of each question (question_id, question_vector).
 
-    Every question meets every context: the questions, a set that evaluation fixes, are counted and
-    broadcast up to ``max_questions`` and are an error beyond."""
-    n = questions.limit(max_questions + 1).count()
-    if n > max_questions:
-        raise ValueError(f"over {max_questions} questions: run them in blocks")
-    scored = contexts.crossJoin(F.broadcast(questions)).select("question_id", "context_id", V.cosine(F.col("question_vector"), F.col("embedding")).alias("score"))
+    Every question meets every context: up to ``max_questions`` are broadcast at once; more are dealt by a
+    hash of their id into blocks of half as many on average, which are broadcast one by one."""
+    n = questions.count()
+    blocks = 1 if n <= max_questions else 2 * n // max_questions + 1
     order = Window.partitionBy("question_id").orderBy(F.desc("score"), "context_id")
-    return scored.withColumn("position", F.row_number().over(order)).where(F.col("position") <= k)
+
+    def best(block: DataFrame) -> DataFrame:
+        scored = contexts.crossJoin(F.broadcast(block)).select("question_id", "context_id", V.cosine(F.col("question_vector"), F.col("embedding")).alias("score"))
+        return scored.withColumn("position", F.row_number().over(order)).where(F.col("position") <= k)
+
+    if blocks == 1:
+        return best(questions)
+    of = F.pmod(F.xxhash64("question_id"), F.lit(blocks))
+    return reduce(DataFrame.unionByName, [best(questions.where(of == b)) for b in range(blocks)])
 
 
 def judged(answers: DataFrame) -> DataFrame:

@@ -80,3 +80,11 @@ def test_bucketed_tables_need_no_exchange(spark, tmp_path):
 def test_collisions(spark):
     rows = spark.createDataFrame([("s", "x", "user", 1), ("s", "x", "user", 1), ("s", "x", "user", 2)], "owner_id string, content string, role string, ts_ms long")
     assert S.collisions(S.remembered(rows, "session")).count() == 1
+
+
+def test_top_contexts_in_blocks(spark):
+    vectors = tables.embeddings(spark, "/root/testdata/sf0.001").limit(60).localCheckpoint()
+    asked = vectors.select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("question_vector"))
+    contexts = vectors.withColumnRenamed("vec_id", "context_id")
+    whole = sorted(evaluate.top_contexts(asked, contexts, 3).collect())
+    assert len(whole) == 180 and sorted(evaluate.top_contexts(asked, contexts, 3, max_questions=25).collect()) == whole
