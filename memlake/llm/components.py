@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memlake.llm.common import Stash
+from memlake.llm.common import Stash, join_skewed
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -17,16 +17,16 @@ def components(links: DataFrame, stash: Stash) -> DataFrame:
 
     ``links`` has columns a and b. Each round hangs every node's larger neighbours on its smallest
     neighbour, then every node's smaller neighbours, until nothing changes: O(log^2 n) rounds.
-    The smallest neighbours are written before they are joined, so that both sides of the join are
-    plain exchanges and a node with very many links is split over tasks (AQE skew join)."""
+    Nodes with very many links join by broadcast, so that no node's links meet in one task."""
     edges = stash.put("links", links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     before, k = _state(edges), 0
     while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = stash.put(f"large{k}", both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")))
-        large = stash.put(f"large_links{k}", both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        least2 = stash.put(f"small{k}", large.groupBy("u").agg(F.min("v").alias("m")))
-        moved = large.join(least2, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = stash.put(f"large{k}", both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count_if(F.expr("v > u")).alias("size")))
+        large = join_skewed(both.where("v > u"), least, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = stash.put(f"large_links{k}", large.distinct())
+        least2 = stash.put(f"small{k}", large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("size")))
+        moved = join_skewed(large, least2, ["u"]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         oriented = moved.unionByName(least2.select("u", F.col("m").alias("v"))).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
         old, edges = edges, stash.put(f"links{k}", oriented.distinct())
         now = _state(edges)

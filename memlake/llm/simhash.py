@@ -22,6 +22,7 @@ table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -31,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memlake.llm.common import Stash, bounded_batches, map_batches, utf8
+from memlake.llm.common import Stash, bounded_batches, join_skewed, map_batches, utf8
 from memlake.llm.components import components
 
 SEED, SHINGLE, RADIUS = 42, 3, 3
@@ -172,9 +173,16 @@ GUARD = 22
 #: similarity of J, whatever the edit was: at 0.8 a pair that no band proposes has odds of
 #: (1 - 0.8^5)^48 = 5e-9, at 0.1 one that some band does has odds of 5e-4.
 BANDS, MINIMA = 48, 5
+#: Equal minima that a candidate needs: a similarity of 0.8 gives 192 of 240 with a deviation of 6.2, so
+#: the odds of fewer than this are 1e-9.
+AGREE = 155
+#: Partners that one copy of a text's shingles is compared with in a task; rows of a block.
+BLOCK = 256
 _ODD = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * MINIMA), np.uint64) * np.uint64(2) + np.uint64(1)
 #: Shingles multiplied together: the products stay in the processor's cache.
 PRODUCTS = 128
+#: The only band of a text without words.
+BLANK = np.zeros(1, np.uint64)
 
 
 def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
@@ -186,129 +194,212 @@ def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(joined[a : b - 1], SEED) for a, b in spans), np.uint64))
 
 
-def bands(found: np.ndarray) -> np.ndarray:
-    """Band keys of distinct shingle hashes; sets that share one are candidates. No shingles: no keys."""
+def majority(hashes: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Bits (as bytes) that are set in over half of the weight of hashes (rows of bytes)."""
+    counts = np.zeros(8 * hashes.shape[1])
+    for k in range(0, len(hashes), TOGETHER):
+        counts += weights[k : k + TOGETHER] @ np.unpackbits(hashes[k : k + TOGETHER], axis=1).astype(np.float64)
+    return np.packbits(2 * counts > weights.sum())
+
+
+def word_marks(text: bytes) -> np.ndarray:
+    """FAMILIES independent fingerprints of words, each word as often as it stands."""
+    counts = Counter(text.translate(LOWERED).split())
+    if not counts:
+        return np.zeros(FAMILIES, np.int64)
+    raw = b"".join([xxhash.xxh3_128_digest(w, SEED + k) for w in counts for k in range(FAMILIES // 2)])
+    return majority(np.frombuffer(raw, np.uint8).reshape(len(counts), -1), np.array(list(counts.values()), float)).view(np.int64)
+
+
+def bands(found: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """Band keys of distinct shingle hashes (sets that share one are candidates) and a byte of each minimum."""
     if not len(found):
-        return np.zeros(0, np.uint64)
+        return BLANK, bytes(BANDS * MINIMA)
     least = np.full(BANDS * MINIMA, (1 << 64) - 1, np.uint64)
     for k in range(0, len(found), PRODUCTS):  # an odd factor permutes the hashes
         np.minimum(least, (found[k : k + PRODUCTS, None] * _ODD[0]).min(axis=0), out=least)
     least ^= least >> np.uint64(29)
-    return (least * _ODD[1]).reshape(BANDS, MINIMA).sum(axis=1, dtype=np.uint64)
-
-
-def band_links(texts: DataFrame) -> DataFrame:
-    """Links (a, b) from each text (id, bands) to the one of smallest id in each of its bands."""
-    keys = texts.select("id", F.explode("bands").alias("band"))
-    firsts = keys.groupBy("band").agg(F.min("id").alias("b"), F.max("id").alias("last")).where("b < last").select("band", "b")
-    return keys.join(firsts, "band").where("id <> b").select(F.col("id").alias("a"), "b")
-
-
-def similar_groups(sets: list[np.ndarray], similarity: float) -> list[int]:
-    """Group number (its first member) of each set: connected by Jaccard similarities of at least
-    ``similarity``. Sets meet through a sorted list of the elements of those that have no group yet, so
-    a set's overlaps with all of them come from its elements' places there; the list is made anew
-    whenever half of its sets have found a group."""
-    sizes = np.array([len(s) for s in sets])
-    group = np.full(len(sets), -1)
-
-    def listed() -> tuple[np.ndarray, np.ndarray, int]:
-        left = np.flatnonzero(group < 0)
-        flat, owner = np.concatenate([sets[k] for k in left] or [np.zeros(0, np.uint64)]), np.repeat(left.astype(np.int32), sizes[left])
-        order = np.argsort(flat, kind="stable")
-        return flat[order], owner[order], len(left)
-
-    flat, owner, held = listed()
-    open_ = len(sets)
-    for first in range(len(sets)):
-        if group[first] >= 0:
-            continue
-        queue, group[first] = [first], first
-        open_ -= 1
-        while queue:
-            if 2 * open_ < held:
-                flat, owner, held = listed()
-            here = queue.pop()
-            if not sizes[here]:
-                near = np.flatnonzero((sizes == 0) & (group < 0))
-            else:
-                a, b = np.searchsorted(flat, sets[here]), np.searchsorted(flat, sets[here], "right")
-                both, upto = np.zeros(len(sets), np.int64), np.cumsum(b - a)
-                for part in np.split(np.arange(len(a)), np.flatnonzero(np.diff(upto >> 20)) + 1):  # about a million places at a time
-                    wide = b[part] - a[part]
-                    places = np.arange(int(wide.sum())) + np.repeat(a[part] - (np.cumsum(wide) - wide), wide)
-                    both += np.bincount(owner[places], minlength=len(sets))
-                near = np.flatnonzero((both > 0) & (group < 0) & (both >= similarity * (sizes + sizes[here] - both)))
-            group[near] = first
-            open_ -= len(near)
-            queue += near.tolist()
-    return group.tolist()
+    mixed = least * _ODD[1]
+    return mixed.reshape(BANDS, MINIMA).sum(axis=1, dtype=np.uint64), (mixed >> np.uint64(56)).astype(np.uint8).tobytes()
 
 
-def near_copies(docs: DataFrame, similarity: float = SIMILARITY, stash: Stash | None = None) -> DataFrame:
-    """Documents that go because a near copy with a smaller id stays: doc_id, text hashes h and g.
-
-    Equal texts are one. Candidates come in two ways. SimHash fingerprints of words (each word counts as often
-    as it stands) are shared but for a few bits by copies with scattered edits: they link by the grid join in
-    any of FAMILIES independent fingerprints if their fingerprints of 5-word shingles aren't far apart either
-    (GUARD), so that short unrelated texts don't chain up. Passages that were added, cut or replaced move more
-    bits than that; min-hash bands of the 5-word shingles propose these, as their odds depend on the similarity
-    alone. Within the components of all links the exact Jaccard similarity of 5-word shingles decides, so
-    candidates cost time but no clean document."""
-    spark = docs.sparkSession
-    stash = stash or Stash(spark)
+def similarity_of(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sorted sets; 1 if both are empty."""
+    if not len(a) and not len(b):
+        return 1.0
+    at = np.searchsorted(a, b)
+    both = int((a[np.minimum(at, len(a) - 1)] == b).sum()) if len(a) else 0
+    return both / (len(a) + len(b) - both)
+
+
+def text_marks(docs: DataFrame) -> DataFrame:
+    """id, text hashes h and g, word fingerprints, guard, band keys and sketch of each row."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = utf8(batch["text"])
-        found = [[*[fingerprint(t, 1, SEED + k) for k in range(FAMILIES)], fingerprint(t, WORDS)] for t in texts]
-        flat = pa.array(np.array(found, np.uint64).view(np.int64).ravel())
-        marks = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, FAMILIES + 1), pa.int32()), flat)
-        keys = [bands(shingles(t)).view(np.int64) for t in texts]
-        ends = np.cumsum([0, *map(len, keys)])
-        banded = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(keys)))
-        return pa.RecordBatch.from_arrays([*[batch[c] for c in ("id", "h", "g")], marks, banded], ["id", "h", "g", "marks", "bands"])
+        sets = [shingles(t) for t in texts]
+        marks = np.concatenate([word_marks(t) for t in texts])
+        guards = [majority(x.astype(">u8").view(np.uint8).reshape(-1, 8), np.ones(len(x))).tobytes() if len(x) else bytes(8) for x in sets]
+        keys, sketches = zip(*map(bands, sets), strict=True)
+        parts = [
+            pa.ListArray.from_arrays(pa.array(np.arange(0, len(marks) + 1, FAMILIES), pa.int32()), pa.array(marks)),
+            pa.array(np.frombuffer(b"".join(guards), ">i8").astype(np.int64)),
+            pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]), pa.int32()), pa.array(np.concatenate(keys).view(np.int64))),
+            pa.array(sketches, pa.binary()),
+        ]
+        return pa.RecordBatch.from_arrays([*[batch[c] for c in ("id", "h", "g")], *parts], ["id", "h", "g", "marks", "guard", "bands", "sketch"])
+
+    return map_batches(docs, run, "id long, h long, g long, marks array<long>, guard long, bands array<long>, sketch binary")
+
+
+def shared_bands(texts: DataFrame, stash: Stash) -> DataFrame:
+    """n, band, head of each text in each band that it shares. The head of a band is its most popular text: the one
+    whose bands are shared most, as the original of many edited copies is. Bands of one text go."""
+    keys = texts.select("n", F.explode("bands").alias("band"))
+    counts = keys.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
+    keys = stash.put("shared", join_skewed(keys, stash.put("counts", counts), ["band"]))
+    popular = keys.groupBy("n").agg(F.sum("size").alias("popularity"))
+    heads = keys.join(popular, "n").groupBy("band").agg(F.max_by("n", F.struct("popularity", -F.col("n"))).alias("head"), F.first("size").alias("size"))
+    return stash.put("banded", join_skewed(keys.select("n", "band"), stash.put("heads", heads), ["band"]).drop("size"))
+
+
+def alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose sketches agree in AGREE minima or more."""
+    sketch = lambda c: texts.select(F.col("n").alias(c), F.col("sketch").alias(f"sketch_{c}"))
+    both = pairs.join(sketch("a"), "a").join(sketch("b"), "b").select("a", "b", "sketch_a", "sketch_b")
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        x, y = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sketch_a", "sketch_b"))
+        near = pa.array((x == y).sum(axis=1) >= AGREE)
+        return pa.RecordBatch.from_arrays([batch["a"].filter(near), batch["b"].filter(near)], ["a", "b"])
+
+    return map_batches(both, run, "a long, b long")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, numbered: DataFrame, similarity: float, stash: Stash, name: str) -> DataFrame:
+    """The pairs (a, b) whose texts (numbered: n, id, h, g) have a Jaccard similarity of shingles high enough.
+
+    Partners of a text b are dealt in blocks of about BLOCK; b's text goes to each block once, so that a
+    text with very many partners is many tasks' work. Texts travel once to their numbers and once to the blocks."""
+    pairs = stash.put(f"pairs_{name}", pairs)
+    hot = pairs.groupBy("b").agg(F.count("*").alias("size")).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    dealt = join_skewed(pairs, stash.put(f"blocks_{name}", hot), ["b"]).select("a", "b", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int").alias("block"))
+    dealt = stash.put(f"dealt_{name}", dealt)
+    own = dealt.select("b", "block").distinct().select(F.col("b").alias("n"), "b", "block", F.lit(None).cast("long").alias("a"))
+    asked = own.unionByName(dealt.select(F.col("a").alias("n"), "b", "block", "a")).join(numbered, "n").drop("n")
+    rows = docs.join(asked, ["id", "h", "g"]).select("b", "block", "a", "text")
+    rows = rows.repartition("b", "block").sortWithinPartitions("b", "block", F.asc_nulls_first("a"))
 
-    keys = [F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), F.col("text")).alias("g")]
-    rows = stash.put("marks", map_batches(docs.select(*keys, "text"), run, "id long, h long, g long, marks array<long>, bands array<long>"))
-    texts = stash.put("texts", rows.groupBy("h", "g").agg(F.min("id").alias("id"), F.first("marks").alias("marks"), F.first("bands").alias("bands")))
-    each = texts.select("id", F.element_at("marks", -1).alias("guard"), F.posexplode(F.slice("marks", 1, FAMILIES)).alias("family", "fingerprint"))
-    links = grid_links(each, RADIUS, GUARD).unionByName(band_links(texts)).distinct()
-    found = components(stash.put("grid", links), stash)
-    copies = rows.join(texts.select("h", "g", F.col("id").alias("least")), ["h", "g"]).where("id <> least").select("id", "h", "g")
-    members = texts.join(found, F.col("id") == F.col("node")).select("component", F.col("node").alias("id"), "h", "g")
-    bodies = docs.select(*keys, "text").join(members, ["id", "h", "g"]).select("component", F.col("id").alias("node"), "h", "g", "text").dropDuplicates(["node", "h", "g"])
-    dealt = bodies.repartition("component").sortWithinPartitions("component", "node")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, held, sets = None, [], []
-
-        def gone() -> list[tuple[int, int, int]]:
-            return [row for k, (row, g) in enumerate(zip(held, similar_groups(sets, similarity), strict=True)) if g != k] if len(held) > 1 else []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = np.zeros(0, np.uint64)
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            for b, a, text in zip(batch["b"].to_pylist(), batch["a"].to_pylist(), utf8(batch["text"]), strict=True):
+                if a is None:
+                    head = shingles(text)
+                elif similarity_of(head, shingles(text)) >= similarity:
+                    found.append((a, b))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*found, strict=True)], ["a", "b"])
+
+    bounded_batches(docs.sparkSession)
+    return stash.put(f"links_{name}", rows.mapInArrow(run, "a long, b long"))
+
+
+def left_over(banded: DataFrame, found: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of one band, in different components and not with the band's head, whose sketches agree.
+
+    Bands whose members are all in one component are done. The others' members are dealt to blocks of about
+    BLOCK rows by a hash, and each two blocks of a band meet in one task."""
+    label = F.coalesce("component", "n").alias("label")
+    rows = banded.where("n <> head").join(found, F.col("n") == F.col("node"), "left").select("n", "band", label)
+    counts = rows.groupBy("band").agg(F.count("*").alias("size"), F.min("label").alias("first"), F.max("label").alias("last")).where("first < last")
+    counts = counts.select("band", "size", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+    rows = join_skewed(rows, counts, ["band"]).join(texts.select("n", "sketch"), "n")
+    own = F.pmod(F.xxhash64("n"), F.col("blocks")).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    rows = rows.withColumn("own", own).withColumn("other", other).select("n", "band", "label", "sketch", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    rows = rows.repartition("band", "low", "high").sortWithinPartitions("band", "low", "high", "n")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held = None, []
+
+        def near() -> Iterator[pa.RecordBatch]:
+            n, label, own = (np.array(c, np.int64) for c in list(zip(*held, strict=True))[:3])
+            low, high, marks = last[1], last[2], np.frombuffer(b"".join([x[3] for x in held]), np.uint8).reshape(len(held), -1)
+            for k in range(len(held)):
+                # Rows of one block meet among themselves where both blocks are the same one.
+                rest = np.flatnonzero((label[k + 1 :] != label[k]) & ((own[k + 1 :] != own[k]) if low != high else True)) + k + 1
+                rest = rest[(marks[rest] == marks[k]).sum(axis=1) >= AGREE]
+                if len(rest):
+                    yield pa.RecordBatch.from_arrays([pa.array(n[rest]), pa.array(np.full(len(rest), n[k]))], ["a", "b"])
 
         for batch in batches:
-            out: list[tuple[int, int, int]] = []
-            for component, node, h, g, text in zip(*[batch[c].to_pylist() for c in ("component", "node", "h", "g")], utf8(batch["text"]), strict=True):
-                if component != last:
-                    out += gone()
-                    last, held, sets = component, [], []
-                held.append((node, h, g))
-                sets.append(shingles(text))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["id", "h", "g"])
-        if out := gone():
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["id", "h", "g"])
-
-    bounded_batches(spark)
-    near = dealt.mapInArrow(verify, "id long, h long, g long")
-    near = stash.put("near", near)
-    # A text's other copies go, and all of a text that a near copy replaces.
-    whole = rows.join(near.select("h", "g"), ["h", "g"]).select("id", "h", "g")
-    return copies.unionByName(whole).distinct().select(F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), "h", "g")
+            cells = zip(*[batch[c].to_pylist() for c in ("band", "low", "high")], strict=True)
+            values = zip(*[batch[c].to_pylist() for c in ("n", "label", "own", "sketch")], strict=True)
+            for cell, value in zip(cells, values, strict=True):
+                if cell != last:
+                    if len(held) > 1:
+                        yield from near()
+                    last, held = cell, []
+                held.append(value)
+        if len(held) > 1:
+            yield from near()
+
+    bounded_batches(banded.sparkSession)
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
+def near_copies(docs: DataFrame, similarity: float = SIMILARITY, stash: Stash | None = None) -> DataFrame:
+    """Rows that go because an exact or near copy stays: doc_id, text hashes h and g.
+
+    Near copies are the components of links between texts whose 5-word shingles have an exact Jaccard
+    similarity of ``similarity`` or more; of each the smallest id stays (equal ids: the smallest hashes).
+
+    1. Equal texts are one, numbered n. Candidate pairs come in two ways. SimHash fingerprints of words are
+       shared but for a few bits by copies with scattered edits: they meet in the grid join, in any of FAMILIES
+       independent fingerprints, if their fingerprints of 5-word shingles aren't far apart either (GUARD).
+       Passages that were added, cut or replaced move more bits than that; min-hash bands of the 5-word
+       shingles propose these, as their odds depend on the similarity alone.
+    2. Each band pairs its members with one head, so a group of m copies gives about m pairs and not m^2;
+       pairs with unlike sketches go, the others' texts are compared exactly. Components of these links.
+    3. What bands still hold in more than one component is compared pair by pair (``left_over``), so nothing
+       rests on the choice of heads.
+
+    Cases: null, empty and blank texts are near copies of each other; a null doc_id counts as the largest;
+    rows that repeat id and text stay once (``keep_one``); an empty table gives no rows."""
+    spark = docs.sparkSession
+    stash = stash or Stash(spark)
+    keys = [F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), F.col("text")).alias("g")]
+    rows = stash.put("marks", text_marks(docs.select(*keys, "text")))
+    firsts = [F.first(c).alias(c) for c in ("marks", "guard", "bands", "sketch")]
+    texts = rows.groupBy("h", "g").agg(F.min("id").alias("id"), F.count("*").alias("copies"), *firsts)
+    texts = stash.put("texts", texts.withColumn("n", F.monotonically_increasing_id()))
+    each = texts.select(F.col("n").alias("id"), "guard", F.posexplode("marks").alias("family", "fingerprint"))
+    grid = stash.put("grid", grid_links(each, RADIUS, GUARD))
+    banded = shared_bands(texts, stash)
+    stars = banded.where("n <> head").select(F.col("n").alias("a"), F.col("head").alias("b"))
+    first = alike(stars.unionByName(grid.where("a <> b")).distinct(), texts)
+    numbered, bodies = texts.select("n", "id", "h", "g"), docs.select(*keys, "text")
+    links = verified(first, bodies, numbered, similarity, stash, "heads")
+    found = stash.put("found", components(links, stash))
+    more = verified(left_over(banded, found, texts), bodies, numbered, similarity, stash, "left")
+    if not more.isEmpty():
+        found = stash.put("all", components(links.unionByName(more), stash))
+    group = F.coalesce("component", "n").alias("group")
+    grouped = texts.select("n", "id", "h", "g", "copies").join(found, F.col("n") == F.col("node"), "left")
+    grouped = stash.put("grouped", grouped.select("id", "h", "g", "copies", group))
+    stays = grouped.groupBy("group").agg(F.min(F.struct("id", "h", "g")).alias("stays"), F.count("*").alias("size"))
+    named = join_skewed(grouped, stays, ["group"]).select("h", "g", "stays", F.col("copies").alias("size"))
+    gone = join_skewed(rows.select("id", "h", "g"), stash.put("named", named), ["h", "g"]).where(F.struct("id", "h", "g") != F.col("stays")).select("id", "h", "g").distinct()
+    gone = stash.put("gone", gone)
+    stash.clear("gone")
+    return gone.select(F.when(F.col("id") != NO_ID, F.col("id")).alias("doc_id"), "h", "g")
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One document of each group of exact and near copies: the one with the smallest id, whole. Rows that
-    repeat both id and text stay once."""
+    repeat both id and text stay once. Cases as in ``near_copies``; other columns pass through."""
     gone = near_copies(docs, similarity).select(F.col("doc_id").alias("doc"), F.col("h").alias("of_h"), F.col("g").alias("of_g"))
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), F.col("text")).alias("g"))
     left = rows.join(gone, F.col("id").eqNullSafe(F.col("doc")) & (F.col("h") == F.col("of_h")) & (F.col("g") == F.col("of_g")), "left_anti")

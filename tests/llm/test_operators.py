@@ -202,12 +202,58 @@ def test_keep_one_after_edits_of_a_passage(spark):
     assert len(gone) == due and all(d % 2 for d in gone)
 
 
-def test_similar_groups_is_exact():
-    own = [t or "" for _, t in texts()]
-    sets = [simhash.shingles(t.encode()) for t in own]
-    got = simhash.similar_groups(sets, 0.8)
-    links = [(i, j) for i in range(len(own)) for j in range(i) if jaccard(own[i], own[j]) >= 0.8]
-    assert dict(enumerate(got)) == brute_components(links, list(range(len(own))))
+def brute_gone(own: list[tuple[int, str]], similarity: float = 0.8) -> set[int]:
+    """All pairs, by the elements that sets share: ids that have a smaller one in their component."""
+    sets = [simhash.shingles((t or "").encode()) for _, t in own]
+    sizes, links = np.array([len(s) for s in sets]), []
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    for i, s in enumerate(sets):
+        spans = zip(np.searchsorted(flat, s), np.searchsorted(flat, s, "right"), strict=True)
+        both = np.bincount(np.concatenate([owner[x:y] for x, y in spans]), minlength=len(sets)) if len(s) else np.where(sizes == 0, 1, 0)
+        near = both / np.maximum(sizes + sizes[i] - both, 1) >= similarity if len(s) else sizes == 0
+        links += [(own[i][0], own[j][0]) for j in np.flatnonzero(near[:i])]
+    return {n for n, c in brute_components(links, [d for d, _ in own]).items() if n != c}
+
+
+def test_near_copies_equal_brute_force(spark, monkeypatch):
+    """Copies of one text, each with other words changed, with and without the text itself; block pairs."""
+    monkeypatch.setattr(simhash, "BLOCK", 7)
+    rng = np.random.default_rng(17)
+    vocabulary = [f"w{k}" for k in range(4000)]
+    own: list[tuple[int, str]] = []
+    for group, (n, edits) in enumerate([(60, 2), (60, 4), (25, 6), (8, 12), (3, 20)]):
+        base = rng.choice(vocabulary, 150).tolist()
+        for k in range(n):
+            words = list(base)
+            for at in rng.choice(150, 0 if k == n // 2 and group != 1 else edits, replace=False):
+                words[at] = f"x{group}y{k}z{at}"
+            own.append((len(own), " ".join(words)))
+    own += [(len(own) + k, own[k][1].upper()) for k in range(5)]
+    got = [d for d, _, _ in rows(simhash.near_copies(frame(spark, own)))]
+    expected = brute_gone(own)
+    assert len(expected) > 60 and len(got) == len(set(got)) and set(got) == expected
+
+
+def test_near_copies_of_a_table_equal_brute_force(spark):
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = {d for d, _, _ in rows(simhash.near_copies(table))}
+    assert got == brute_gone(sorted((r.doc_id, r.text) for r in table.collect()))
+
+
+def test_blank_texts_and_empty_tables(spark, none):
+    own = [(5, None), (2, ""), (9, " \n "), (7, "word"), (None, "word")]
+    assert {d for d, _, _ in rows(simhash.near_copies(frame(spark, own)))} == {5, 9, None}
+    assert rows(simhash.near_copies(none)) == [] and rows(simhash.keep_one(none)) == []
+
+
+def test_skewed_joins(spark):
+    from memlake.llm.common import join_skewed
+
+    data = spark.range(6000).select(F.when(F.col("id") < 4000, 0).otherwise(F.col("id") % 50).alias("k"), "id")
+    table = data.groupBy("k").agg(F.count("*").alias("size"), F.min("id").alias("least"))
+    assert Counter(rows(join_skewed(data, table, ["k"]))) == Counter(rows(data.join(table, "k")))
 
 
 # 3: weighted sampling
