@@ -4,6 +4,10 @@ Each stage takes (spark, docs, sf_dir), works on all rows that the stage before
 DataFrame, which is written and read again before the next. All but the last return the columns of
 ``documents``; where a stage changes the text, n_chars counts the new one. Documents whose whole
 text goes stay as empty ones until near-copy removal leaves one of them.
+
+Cases: null and empty texts are judged, and stay or go, as each operator's docstring says; rows that
+repeat id and text stay once after the near-copy stage; an empty table gives no rows; extra columns of
+``documents`` pass through all stages but the last, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memlake.llm import line_dedup, packing, quality, simhash, suffix_dedup
-from memlake.llm.common import Stash, documents
+from memlake.llm.common import Stash, documents, released
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -64,8 +68,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; between them rows go through a table in the shared folder."""
     docs = documents(spark, sf_dir)
     stash = Stash(spark)
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = stash.put(f"stage_{name}", docs)
-    return docs
+    for name, stage in STAGES[:-1]:
+        with released():  # a stage's own tables go once its rows are written
+            docs = stash.put(f"stage_{name}", stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
