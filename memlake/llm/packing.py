@@ -2,8 +2,11 @@
 
 Every document becomes its ids and a closing id; only documents longer than a sequence are cut,
 into full pieces and a shorter last one. A piece asks for a vector of three things: tokens, one
-place, and attention cost (its length squared). A sequence has a capacity in each. Pieces come
-longest first; a piece goes to the open sequence that can take it in every dimension and has the
+place, and attention cost (its length squared). A sequence has a capacity in each: ``SEQUENCE`` tokens,
+``documents`` places and ``attention`` cost. By default the last two are as large as tokens can ask
+for (one place a token, the square of the tokens), so that only tokens limit a sequence and there are
+as few as can be; smaller ones bind, for instance to bound the documents of a sequence. The attention
+capacity has to hold a full piece. Pieces come longest first; a piece goes to the open sequence that can take it in every dimension and has the
 best score: the smallest weighted norm of what is left (``norm``), or the largest weighted
 dot-product of the piece with what is left (``dot``). If none can, a new sequence opens.
 
@@ -85,8 +88,13 @@ def vector_best_fit(lengths: np.ndarray, capacity: tuple[int, int, int], weights
     return bins, offsets
 
 
-def pack(found: DataFrame, capacity: tuple[int, int, int] = (SEQUENCE, SEQUENCE, SEQUENCE * SEQUENCE), rule: str = "norm") -> DataFrame:
+def pack(found: DataFrame, documents: int = SEQUENCE, attention: int = SEQUENCE**2, rule: str = "norm") -> DataFrame:
     """Give each piece its sequence_id and its offset there."""
+    if documents < 1 or attention < SEQUENCE**2:
+        raise ValueError("a sequence has to hold a full piece")
+    if rule not in ("norm", "dot"):
+        raise ValueError("the rule is norm or dot")
+    capacity = SEQUENCE, documents, attention
     bounded_batches(found.sparkSession)
     dealt = found.withColumn("_h", F.xxhash64("doc_id", "piece")).repartition("_h").sortWithinPartitions("_h", "doc_id", "piece", "start").drop("_h")
     schema = pa.schema([*[(f.name, {"long": pa.int64(), "integer": pa.int32(), "binary": pa.binary()}[f.dataType.typeName()]) for f in found.schema], ("sequence_id", pa.int64()), ("offset", pa.int64())])
@@ -113,6 +121,6 @@ def pack(found: DataFrame, capacity: tuple[int, int, int] = (SEQUENCE, SEQUENCE,
     return dealt.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in found.schema) + ", sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, keep_ids: bool = False) -> DataFrame:
-    """Tokenise whole documents, cut those over a sequence, pack all pieces."""
-    return pack(pieces(docs, tokenizer_path, keep_ids))
+def pack_documents(docs: DataFrame, tokenizer_path: str, keep_ids: bool = False, **limits) -> DataFrame:
+    """Tokenise whole documents, cut those over a sequence, pack all pieces (``limits`` as ``pack`` takes them)."""
+    return pack(pieces(docs, tokenizer_path, keep_ids), **limits)
