@@ -2,12 +2,13 @@
 
 Rows are ordered by (hash of the text, doc_id), so equal texts are neighbours and stay in one shard
 but for a group that a boundary must cut. Splitters are found by counting, exactly and over all
-partitions, the bytes and rows between candidate boundaries: first 256 equal steps of the hash; then
-each cell that holds a wanted boundary, or far more rows than its share, is probed again with equal
+partitions, the bytes and rows between candidate boundaries: first 256 equal steps of the hash (65,536
+with over 128 shuffle partitions P); then each cell that holds a wanted boundary, or over 1 / (2 P) of
+all rows (1 / 64 at most), is probed again with equal
 steps between its own lowest and highest key, by hash until a cell is one hash value, by doc_id
 then, and by the row's place in the input for rows that repeat. Probing ends when each splitter is
-within tolerance of its target. The driver sees a bounded number of cell counts, whatever the
-input. Then the rows are exchanged once, to their cell; a row's slot is the number of rows in its
+within tolerance of its target. The driver sees a number of cell counts that P bounds, whatever the
+input: at most 2 P cells are probed at a level, into 256 each. Then the rows are exchanged once, to their cell; a row's slot is the number of rows in its
 shard's earlier cells plus its place in its own.
 
 Law ``bytes``: a splitter misses its target by the tolerance or half a row at most.
@@ -27,8 +28,8 @@ from memlake.llm.common import Stash
 SHARDS = 8
 #: Share of a shard's bytes by which a splitter may miss its target.
 TOLERANCE = 0.002
-#: Cells that one cell is probed into; share of all rows over which a cell is probed again.
-STEPS, HEAVY = 256, 1 / 64
+#: Cells that one cell is probed into; rows are dealt to cells of 1 / COARSE of all rows at most.
+STEPS, COARSE = 256, 64
 #: What rows are ordered by.
 KEYS = ("h", "id", "tie")
 
@@ -37,13 +38,15 @@ class Cells:
     """A tree of cells over the order of rows. A cell's name is its path, two hex digits a level, so
     that names sort as their rows do."""
 
-    def __init__(self) -> None:
+    def __init__(self, levels: int = 1) -> None:
+        self.levels = levels  # of equal steps of the hash
         self.probed: dict[str, tuple[str, int, float]] = {}  # cell: key, lowest value, step
 
     def name(self) -> Column:
         """The leaf of a row."""
-        # The signed hash's upper eight bits, as an offset from the lowest.
-        path = F.format_string("%02x", (F.shiftright("h", 56) + 128).cast("int"))
+        # The signed hash's upper bits, as an offset from the lowest.
+        bits = 8 * self.levels
+        path = F.format_string(f"%0{2 * self.levels}x", (F.shiftright("h", 64 - bits) + (1 << (bits - 1))).cast("int"))
         levels: dict[int, list[str]] = {}
         for cell in self.probed:
             levels.setdefault(len(cell), []).append(cell)
@@ -75,11 +78,12 @@ def histogram(rows: DataFrame, cells: Cells) -> list[dict]:
 
 def plan(rows: DataFrame, shards: int, tolerance: float = TOLERANCE) -> tuple[Cells, list[tuple[str, int, int]]]:
     """Cells fine enough for every splitter; for each leaf its shard and the rows of that shard before it."""
-    cells, stuck = Cells(), set()
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells, stuck = Cells(1 if partitions <= 128 else 2), set()
     while True:
         leaves = histogram(rows, cells)
         total, n = sum(x["bytes"] for x in leaves), sum(x["rows"] for x in leaves)
-        todo = {x["cell"] for x in leaves if x["rows"] > max(n * HEAVY, 1)}
+        todo = {x["cell"] for x in leaves if x["rows"] > max(n / max(COARSE, 2 * partitions), 1)}
         cuts, below = [], 0
         for x in leaves:
             above = below + x["bytes"]
