@@ -1,8 +1,9 @@
 """Quality classifier by hierarchical empirical Bayes.
 
 1. Evidence: for quality and for toxicity a sparse logistic model (L1, accelerated proximal gradient) over
-   word presence and shape rates, fitted on at most ``SAMPLE`` labelled documents (those with the
-   smallest hash of their id; equal texts count once). Every document gets both probabilities.
+   word presence and shape rates, fitted on at most ``SAMPLE`` labelled documents that hold at most
+   ``SAMPLE_WORDS`` words in all (those with the smallest hash of their id; equal texts count once).
+   Every document gets both probabilities.
 2. Hosts and paths: the probabilities are summed per host (``source`` here) and per path within it
    (``lang`` here). The spread of host rates beyond what their sizes explain gives, by moments, the
    strength of the global prior; a host's posterior mean shrinks its rate toward the global one, a
@@ -24,14 +25,15 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlake.llm.common import Stash, map_batches, utf8
 from memlake.llm.simhash import LOWERED
 
-#: Labelled documents that the models are fitted on, at most; words count if this many of them hold one.
-SAMPLE, LEAST = 12_000, 4
+#: Labelled documents that the models are fitted on, at most, and their distinct words in all (what the driver
+#: gets is bounded by both: 4 bytes a word); words count if LEAST of the documents hold one.
+SAMPLE, SAMPLE_WORDS, LEAST = 12_000, 8_000_000, 4
 BITS, SEED = 18, 7
 #: L1 penalty, on the mean loss and on weights of words scaled to unit mean square; steps of the fit.
 PENALTY, STEPS = 1e-3, 160
@@ -116,17 +118,27 @@ def fit(words: list[np.ndarray], shapes: np.ndarray, labels: np.ndarray, default
     return Model(used[own].astype(np.int32), (w * unit)[own].astype(np.float32), v.astype(np.float32), middle, scale, float(bias))
 
 
-def train(docs: DataFrame, labels: DataFrame) -> list[Model]:
+def train(docs: DataFrame, labels: DataFrame, stash: Stash) -> list[Model]:
     """Models of quality and toxicity from a bounded sample of labelled documents."""
     chosen = labels.where("doc_id IS NOT NULL").select("doc_id", *TASKS).orderBy(F.xxhash64("doc_id"), "doc_id", *TASKS).limit(SAMPLE)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", *TASKS)
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", *TASKS)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [features(t) for t in utf8(batch["text"])]
-        return pa.RecordBatch.from_arrays([pa.array([w.tobytes() for w, _ in found], pa.binary()), pa.array([s.tobytes() for _, s in found], pa.binary()), *[batch[t] for t in TASKS]], ["words", "shapes", *TASKS])
+        parts = [pa.array([x.tobytes() for x in column], pa.binary()) for column in zip(*found, strict=True)]
+        return pa.RecordBatch.from_arrays([batch["doc_id"], *parts, *[batch[t] for t in TASKS]], ["doc_id", "words", "shapes", *TASKS])
 
     names = {f.name: f.dataType.simpleString() for f in labels.schema}
-    found = map_batches(rows, run, f"words binary, shapes binary, {', '.join(f'{t} {names[t]}' for t in TASKS)}").dropDuplicates(["words", "shapes"]).collect()
+    kinds = f"doc_id long, words binary, shapes binary, {', '.join(f'{t} {names[t]}' for t in TASKS)}"
+    # Equal texts count once (with the least labels), so a document that is repeated weighs no more.
+    first = F.min(F.struct(F.xxhash64("doc_id").alias("place"), "doc_id", *TASKS)).alias("x")
+    each = stash.put("sampled", map_batches(rows, run, kinds).groupBy("words", "shapes").agg(first).select("words", "shapes", "x.*"))
+    key = F.xxhash64("words", "shapes").alias("key")
+    thin = each.select("place", "doc_id", key, (F.length("words") / 4).alias("n")).orderBy("place", "doc_id", "key").limit(SAMPLE)
+    upto = F.sum("n").over(Window.orderBy("place", "doc_id", "key").rowsBetween(Window.unboundedPreceding, 0))  # SAMPLE rows at most
+    taken = thin.withColumn("upto", upto).where(F.col("upto") <= SAMPLE_WORDS).select("doc_id", "key")
+    found = each.withColumn("key", key).join(F.broadcast(taken), ["doc_id", "key"]).orderBy("place", "doc_id", "key").collect()
+    stash.drop("sampled")
     words, shapes = [np.frombuffer(r.words, np.int32) for r in found], np.array([np.frombuffer(r.shapes, np.float32) for r in found]).reshape(-1, SHAPES)
     out = []
     for task, default in zip(TASKS, (0.5, 0.01), strict=True):
@@ -173,7 +185,7 @@ def posteriors(scores: DataFrame, stash: Stash) -> DataFrame:
 def judge(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang", stash: Stash | None = None) -> DataFrame:
     """doc_id, version, host, path, evidence and posterior of quality and toxicity, kept."""
     stash = stash or Stash(docs.sparkSession)
-    scores = stash.put("evidence", evidence(docs, train(docs, labels), host, path))
+    scores = stash.put("evidence", evidence(docs, train(docs, labels, stash), host, path))
     priors = posteriors(scores, stash).withColumnsRenamed({"host": "host_", "path": "path_"})
     both = scores.join(priors, F.col("host").eqNullSafe(F.col("host_")) & F.col("path").eqNullSafe(F.col("path_")))
     for t in TASKS:
