@@ -3,9 +3,13 @@
 The templates' words are numbered and all templates enter one suffix automaton over word numbers. A
 document's words stream through it; at each word the automaton's state and length say how long a
 stretch that ends here occurs in some template (the matching statistics). Where the statistics stop
-growing a maximal match ends. Long enough matches are chained per template: in order both in the
-document and in the template, with gaps of at most ``GAP`` words. A chain that covers at least
-``COVER`` of a template's words gives its label and span.
+growing a maximal match ends. The phrases of the base rules are templates too, so each place of a
+phrase lies in a maximal match and is read off the template that matched.
+
+Long enough matches are chained per template by dynamic programming: in order both in the document and
+in the template, with gaps of at most ``GAP`` words; the best chain that ends in each match covers the
+most words. Chains that cover at least ``COVER`` of a template's words give its label and span; of
+overlapping ones of a template the one that covers most counts, so two copies give two spans.
 
 The automaton has at most twice as many states as the templates have words: it is built once in each
 worker and its size doesn't depend on the documents. Time is linear in the words.
@@ -17,6 +21,7 @@ template, 0 to 1.
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections import defaultdict
 
 import numpy as np
@@ -103,49 +108,62 @@ class Automaton:
 
 class Scanner:
     def __init__(self) -> None:
-        texts = [words_of(t.encode()) for _, t in TEMPLATES]
+        templates = [*TEMPLATES, *[(label, phrase) for phrase, label in PHRASES]]
+        texts = [words_of(t.encode()) for _, t in templates]
         self.number = {w: k for k, w in enumerate(dict.fromkeys(w for t in texts for w in t))}
         self.texts = [[self.number[w] for w in t] for t in texts]
-        self.labels = [label for label, _ in TEMPLATES]
+        self.labels = [label for label, _ in templates]
         self.automaton = Automaton(self.texts)
-        self.phrases = [([self.number[w] for w in phrase.encode().split()], label) for phrase, label in PHRASES]
+        # Where the phrases stand in each template: (start, length, label).
+        phrases = [(self.texts[len(TEMPLATES) + k], label) for k, (_, label) in enumerate(PHRASES)]
+        self.phrases = [[(at, len(p), label) for p, label in phrases for at in range(len(t)) if t[at : at + len(p)] == p] for t in self.texts]
 
     def scan(self, words: list[bytes]) -> tuple[list[int], set[str], list[tuple[str, int, int, float]]]:
-        """Starts of base phrases, their labels, and covered spans (label, start, end, share)."""
+        """Starts of base phrases, their labels, and chains (label, start, end, share of the template)."""
         numbers = np.fromiter(map(self.number.get, words, [-1] * len(words)), np.int32, len(words))
         known = np.flatnonzero(np.diff(np.concatenate([[False], numbers >= 0, [False]]).astype(np.int8))).reshape(-1, 2)
-        places, labels, found = [], set(), []
+        found = []
         for a, b in known[known[:, 1] - known[:, 0] >= 2].tolist():
-            run = numbers[a:b].tolist()
-            for phrase, label in self.phrases:
-                for k in range(len(run) - len(phrase) + 1):
-                    if run[k] == phrase[0] and run[k : k + len(phrase)] == phrase:
-                        places.append(a + k)
-                        labels.add(label)
-            found += [(a + end - n, n, state) for end, n, state in self.automaton.matches(run)]
-        return places, labels, self.chains(found)
+            found += [(a + end - n, n, state) for end, n, state in self.automaton.matches(numbers[a:b].tolist())]
+        places: dict[int, str] = {}
+        for start, n, state in found:
+            t, stop = self.automaton.ends[state][0]  # the same words in every template that has them
+            places |= {start + at - (stop - n): label for at, size, label in self.phrases[t] if stop - n <= at and at + size <= stop}
+        return sorted(places), set(places.values()), self.chains(found)
 
     def chains(self, found: list[tuple[int, int, int]]) -> list[tuple[str, int, int, float]]:
-        """Chains of matches (start, length, state) per template."""
-        # Per template: the open chain as (start, end in the text, end in the template, covered words).
-        open_: dict[int, tuple[int, int, int, int]] = {}
-        best: dict[int, tuple[float, int, int]] = defaultdict(lambda: (0.0, 0, 0))
+        """Chains of matches (start, length, state); of those of a template that overlap the best one."""
+        by_template: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
         for start, n, state in sorted(found):
-            for t, end in self.automaton.ends[state]:
-                size = len(self.texts[t])
-                if n < min(MATCH, size):
-                    continue
-                first, held = end - n, open_.get(t)
-                if held and 0 <= start - held[1] <= GAP and 0 <= first - held[2] <= GAP:
-                    held = held[0], start + n, end, held[3] + n
-                elif held and held[1] > start and held[3] >= n:
-                    continue
-                else:
-                    held = start, start + n, end, n
-                open_[t] = held
-                if held[3] / size > best[t][0]:
-                    best[t] = held[3] / size, held[0], held[1]
-        return [(self.labels[t], a, b, share) for t, (share, a, b) in best.items()]
+            for t, stop in self.automaton.ends[state]:
+                if n >= min(MATCH, len(self.texts[t])):
+                    by_template[t].append((start, n, stop))
+        out = []
+        for t, matches in by_template.items():
+            size, taken = len(self.texts[t]), [(-1, -1)]  # by place, none overlaps another
+            for covered, start, end in sorted(chained(matches), key=lambda c: (-c[0], c[1], c[2])):
+                k = bisect(taken, (start, end))
+                if taken[k - 1][1] <= start and (k == len(taken) or end <= taken[k][0]):
+                    taken.insert(k, (start, end))
+                    out.append((self.labels[t], start, end, covered / size))
+        return out
+
+
+def chained(matches: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The best chain (covered words, start, end) that ends in each match (start, length, end in the template) of one
+    template, by start. A match follows one whose ends are at most GAP words before its starts, here and there."""
+    out: list[tuple[int, int, int]] = []
+    open_: list[int] = []  # matches that one may still follow
+    for k, (start, n, stop) in enumerate(matches):
+        open_ = [j for j in open_ if matches[j][0] + matches[j][1] + GAP >= start]
+        best = n, start, start + n
+        for j in open_:
+            s, m, e = matches[j]
+            if s + m <= start and 0 <= stop - n - e <= GAP and out[j][0] + n > best[0]:
+                best = out[j][0] + n, out[j][1], start + n
+        out.append(best)
+        open_.append(k)
+    return out
 
 
 _KEPT: list[Scanner] = []
