@@ -80,14 +80,22 @@ def test_suffix_dedup(docs, none):
 
 def test_suffix_windows_agree(monkeypatch, spark):
     """Texts over a window's length are cut into overlapping windows with the same result."""
+    monkeypatch.setattr(suffix_dedup, "WINDOW", 4 * suffix_dedup.PERIOD)
     long = prose(900, 1)
-    data = frame(spark, [(1, long), (2, prose(30, 2) + long[2000:4000] + prose(30, 3)), (3, long[:150])])
-    plain = rows(suffix_dedup.repeat_digests(data))
-    parts = suffix_dedup.gathered([len(long)])
-    assert sum(len(g) for g in parts) == 1
-    same(plain, [(d, n, r, s, k) for d, n, r, s, k in plain])
-    expected = removed([long.encode(), (prose(30, 2) + long[2000:4000] + prose(30, 3)).encode(), long[:150].encode()])
-    assert {d: r for d, _, r, _, _ in plain} == {k + 1: sum(g) for k, g in enumerate(expected)}
+    assert sum(len(g) for g in suffix_dedup.gathered([len(long)])) > 10
+    own = [long, prose(30, 2) + long[2000:4000] + prose(30, 3), long[:150], prose(40, 9) + long[500:800]]
+    got = rows(suffix_dedup.repeat_digests(frame(spark, list(enumerate(own)))))
+    expected = removed([t.encode() for t in own])
+    assert {d: r for d, _, r, _, _ in got} == {k: sum(g) for k, g in enumerate(expected)}
+
+
+def test_a_hot_passage(spark):
+    """One passage in very many documents, beside others that share nothing."""
+    passage = prose(40, 1)
+    own = [(k, prose(3 + k % 5, 10 + k) + passage + prose(2 + k % 3, 9000 + k)) for k in range(400)] + [(1000 + k, prose(30, 20_000 + k)) for k in range(50)]
+    got = {d: (r, n) for d, _, r, n, _ in rows(suffix_dedup.repeat_digests(frame(spark, own)))}
+    for (d, _), gone in zip(own, removed([t.encode() for _, t in own]), strict=True):
+        assert got[d] == (sum(gone), sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone)))
 
 
 def test_suffix_dedup_keeps_columns(docs):
@@ -289,7 +297,7 @@ def test_weighted_sampling(docs, none):
 
 
 def test_collisions_estimate_generalised_jaccard():
-    s = weighted_sampling.sampler()
+    s = weighted_sampling
     errors = []
     for k in range(60):
         a, b = prose(80, k), " ".join(prose(80, k).split()[:50]) + " " + " ".join([prose(3, k)] * 10)
@@ -299,6 +307,50 @@ def test_collisions_estimate_generalised_jaccard():
     assert s.both(b"a b b", b"a b b") == (s.fingerprint(b"a b b"),) * 2
 
 
+def plain_samples(counts: Counter) -> list[tuple]:
+    """The definition, a term and a sample at a time: (hash of the term, t) of each sample."""
+    out = []
+    for k in range(weighted_sampling.SAMPLES):
+        best = None
+        for w, n in counts.items():
+            h = np.array([xxhash.xxh64_intdigest(w, weighted_sampling.SEED)], np.uint64)
+            r, log_c, b = (x[0, k] for x in weighted_sampling.draws(h))
+            t = np.floor(np.float32(np.log(np.float32(n))) / r + b)
+            a = log_c - r * (t - b) - r
+            best = min(best or (np.inf,), (float(a), int(h[0]), int(t)))
+        out.append(best[1:])
+    return out
+
+
+def test_sampler_equals_the_definition():
+    for k in range(4):
+        counts = weights(prose(30, k) + " again" * 7 + " twice twice")
+        found = weighted_sampling.least(counts)
+        got = [(int(h), int(t)) for h, t in zip(found[1], found[2], strict=True)]
+        assert sum(x == y for x, y in zip(got, plain_samples(counts), strict=True)) >= 63  # rounding may move a tie
+
+
+def test_fingerprints_do_not_depend_on_order():
+    rng = np.random.default_rng(6)
+    words = [f"w{k}" for k in range(20_000)]
+    for n in (50, 4000, 20_000):
+        own = words[:n] + words[: n // 3]
+        marks = {weighted_sampling.fingerprint(" ".join(rng.permutation(own)).encode()) for _ in range(3)}
+        assert len(marks) == 1
+    a, b = " ".join(words[:15_000]), " ".join(words[5_000:])
+    near = weighted_sampling.likeness(*weighted_sampling.both(a.encode(), b.encode()))
+    assert abs(near - 0.5) < 0.25
+
+
+def test_one_id_for_very_many_rows(spark):
+    own = [(7, f"{prose(4, k)}") for k in range(900)] + [(None, prose(5, 2000 + k)) for k in range(400)] + [(k, prose(6, 5000 + k)) for k in range(20, 60)]
+    got = rows(weighted_sampling.fingerprint_neighbours(frame(spark, own)))
+    mark = lambda t: weighted_sampling.fingerprint(t.encode())
+    assert Counter((r[0], r[3]) for r in got) == Counter((d, mark(t)) for d, t in own)
+    ranged = weighted_sampling.boundaries(frame(spark, own).select(F.coalesce("doc_id", F.lit(weighted_sampling.LOWEST)).alias("id")), 4)
+    assert sum(i == 7 for i, _ in ranged) >= 3
+
+
 # 4: sharding
 
 
@@ -388,6 +440,42 @@ def test_packing(docs, none):
     assert rows(packing.pack_documents(none, WORDS)) == []
 
 
+def plain_best_fit(lengths: list[int], capacity: tuple[int, int, int], rule: str) -> list[int]:
+    """The rule, a sequence at a time."""
+    bins, out = [], [0] * len(lengths)
+    for i in sorted(range(len(lengths)), key=lambda k: -lengths[k]):
+        need = (lengths[i], 1, lengths[i] ** 2)
+        best = None
+        for b, left in enumerate(bins):
+            room = [x - y for x, y in zip(left, need, strict=True)]
+            if min(room) >= 0:
+                terms = [r * r for r in room] if rule == "norm" else [-x * y for x, y in zip(left, need, strict=True)]
+                score = sum(w / c**2 * x for w, c, x in zip(packing.WEIGHTS, capacity, terms, strict=True))
+                best = min(best or (np.inf, 0), (score, b))
+        if best is None:
+            bins.append(list(capacity))
+            best = 0, len(bins) - 1
+        bins[best[1]] = [x - y for x, y in zip(bins[best[1]], need, strict=True)]
+        out[i] = best[1]
+    return out
+
+
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+@pytest.mark.parametrize("capacity", [(2048, 2048, 2048**2), (2048, 4, 2048**2), (2048, 9, 2048**2 + 1)])
+def test_best_fit_equals_plain_loop(rule, capacity):
+    lengths = np.random.default_rng(8).choice([3, 40, 41, 250, 600, 700, 1023, 1024, 1500, 2047, 2048], 400)
+    bins, _ = packing.vector_best_fit(lengths, capacity, rule=rule)
+    assert bins.tolist() == plain_best_fit(lengths.tolist(), capacity, rule)
+
+
+def test_limits_of_documents_bind(docs):
+    out = packing.pack_documents(docs, WORDS, documents=3).groupBy("sequence_id").agg(F.count("*").alias("n"), F.sum("length").alias("tokens"))
+    got = rows(out.select("n", "tokens"))
+    assert max(n for n, _ in got) == 3 and max(t for _, t in got) <= 2048
+    with pytest.raises(ValueError):
+        packing.pack_documents(docs, WORDS, attention=1000)
+
+
 @pytest.mark.parametrize("rule", ["norm", "dot"])
 def test_vector_best_fit_meets_all_capacities(rule):
     lengths = np.random.default_rng(2).integers(1, 2049, 3000)
@@ -426,6 +514,36 @@ def test_base_counts(docs, none):
     assert rows(outliers.verdicts(none)) == []
 
 
+def test_base_counts_are_exact_where_hashes_clash(docs, monkeypatch):
+    plain = rows(outliers.base_counts(docs))
+    monkeypatch.setattr(outliers, "UNUSED", 46)
+    same(rows(outliers.base_counts(docs)), plain)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_estimate_is_the_minimum_determinant(spark, seed):
+    """Against all subsets of three quarters of 14 rows."""
+    from itertools import combinations
+
+    rng = np.random.default_rng(seed)
+    z = np.vstack([rng.normal(0, 1, (11, 4)) @ rng.normal(0, 1, (4, 4)), rng.normal(9, 1, (3, 4))])
+    data = spark.createDataFrame([("en", "s", *map(float, r)) for r in z], "lang string, source string, z_0 double, z_1 double, z_2 double, z_3 double")
+    found = {r.pooled: r for r in outliers.estimates(data, Stash(spark)).collect()}
+    floor = np.diag(np.square(outliers.FLOORS))
+    scatter = lambda rows_: outliers.CONSISTENCY * np.cov(rows_.T, bias=True) + floor
+    least = min(np.linalg.slogdet(scatter(z[list(c)]))[1] / 2 for c in combinations(range(14), 11))
+    assert found[True].logdet == pytest.approx(least) and found[False].logdet == pytest.approx(least)
+    middle = z[:11].mean(axis=0)
+    assert [found[True][f"m_{i}"] for i in range(4)] == pytest.approx(middle.tolist())
+
+
+def test_consistency_factor():
+    assert outliers.CUTOFF == pytest.approx(23.51, abs=0.01)  # tables of the chi-square distribution
+    x = np.random.default_rng(1).normal(0, 1, (200_000, 4))
+    inner = x[(x**2).sum(axis=1) <= outliers.chi2_quantile(outliers.KEEP)]
+    assert outliers.CONSISTENCY * inner.var() == pytest.approx(1, abs=0.01)
+
+
 def test_outliers_are_rejected(spark):
     clean = [(k, prose(60 + k % 90, k)) for k in range(400)]
     odd = [(1000 + k, " ".join(f"{w}%%%" for w in prose(80, k).split())) for k in range(60)]
@@ -481,6 +599,27 @@ def test_license_chain_bridges_gaps():
     assert [s for s in spans if s[0] == "bsd" and s[3] > 0.9]
 
 
+def test_license_copies_give_spans_each():
+    scanner = license_scan.Scanner()
+    mit = next(t for label, t in license_scan.TEMPLATES if label == "mit" and len(t) > 300)
+    text = f"first {mit} then other words {mit} and the MIT License again, the General Public License too"
+    words = license_scan.words_of(text.encode())
+    places, labels, spans = scanner.scan(words)
+    assert len([s for s in spans if s[0] == "mit" and s[3] == 1.0 and s[2] - s[1] > 50]) == 2
+    assert [b" ".join(words[k : k + 2]) for k in places] == [b"mit license", b"general public"] and labels == {"mit", "gpl"}
+
+
+@given(st.lists(st.tuples(st.integers(0, 25), st.integers(1, 4), st.integers(4, 25)), max_size=9))
+@settings(max_examples=60, deadline=None)
+def test_chains_equal_all_sequences(matches):
+    """Against all ordered subsets: the most words of a valid chain that ends in each match."""
+    matches = sorted(set(matches))
+    follows = lambda x, y: 0 <= y[0] - x[0] - x[1] <= license_scan.GAP and 0 <= y[2] - y[1] - x[2] <= license_scan.GAP
+    def most(k):  # noqa: E306
+        return matches[k][1] + max([most(j) for j in range(k) if follows(matches[j], matches[k])], default=0)
+    assert [c[0] for c in license_scan.chained(matches)] == [most(k) for k in range(len(matches))]
+
+
 # 8: lines
 
 
@@ -550,6 +689,43 @@ def test_sparse_sites_shrink(spark):
     assert abs(found["big"].host_quality - 0.9) < 0.02 and 0.0 < found["tiny"].host_quality < world
 
 
+def test_posteriors_equal_plain_loops(spark):
+    data, labels = labelled(300)
+    marks = spark.createDataFrame(labels[:200], "doc_id long, quality int, toxic int")
+    df = frame(spark, data).withColumns({"source": F.concat(F.lit("s"), (F.col("doc_id") % 7).cast("string")), "lang": F.when(F.col("doc_id") % 3 > 0, "en")})
+    got = quality.judge(df, marks).collect()
+    for task in quality.TASKS:
+        p = {r.doc_id: r[f"evidence_{task}"] for r in got}
+        path = {r.doc_id: (r.host, r.path) for r in got}
+        hosts, paths = defaultdict(list), defaultdict(list)
+        for d, x in p.items():
+            hosts[path[d][0]].append(x)
+            paths[path[d]].append(x)
+        n = len(p)
+        mean = sum(p.values()) / n
+        spread = sum(len(x) * (sum(x) / len(x)) ** 2 for x in hosts.values()) / n - mean**2
+        worth = min(max(mean * (1 - mean) / max(spread - mean * (1 - mean) * len(hosts) / n, 1e-6) - 1, 1.0), 1000.0)
+        for r in got:
+            host = (sum(hosts[r.host]) + worth * mean) / (len(hosts[r.host]) + worth)
+            others = paths[(r.host, r.path)]
+            prior = (sum(others) - p[r.doc_id] + worth * host) / (len(others) - 1 + worth)
+            odds = p[r.doc_id] / (1 - p[r.doc_id]) * (1 - mean) / mean * prior / (1 - prior)
+            assert abs(r[f"posterior_{task}"] - odds / (1 + odds)) < 1e-6
+
+
+def test_sample_is_bounded(spark, monkeypatch):
+    data, labels = labelled(300)
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda words, shapes, y, default: seen.append(words) or quality.Model(*[np.zeros(0, np.int32), np.zeros(0, np.float32)], np.zeros(8, np.float32), np.zeros(8), np.ones(8), 0.0))
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    for sample, most in ((50, 10**6), (300, 900)):
+        monkeypatch.setattr(quality, "SAMPLE", sample)
+        monkeypatch.setattr(quality, "SAMPLE_WORDS", most)
+        twice = frame(spark, data + [(k, t + " other") for k, t in data[:150]])  # ids that repeat with other texts
+        quality.train(twice, marks, Stash(spark))
+        assert 0 < len(seen[-1]) <= sample and sum(map(len, seen[-1])) <= most
+
+
 # the pipeline
 
 
