@@ -1,42 +1,60 @@
 """Belief: an append-only log of operations folded, in order, into each memory's present state.
 
 Clamping makes the order matter, so state is a fold over the sorted operations of a memory. A memory's
-operations are pre-packed by a grouped aggregation; nothing is updated in place.
+operations are pre-packed by a grouped aggregation; nothing is updated in place. A fold starts from the
+memory's own row, so what no operation touches stays as it was written.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlake.functions import text as T
 from memlake.operators.recall import newest
 
 BOOST, DROP = 0.15, 0.25
+#: What operations change.
+STATE = ("certainty", "reinforcement_count", "status", "importance", "last_verified_ms", "tier")
+OPERATION = ("op_ms", "seq", "op", "amount")
 
 
 def _step(state: Column, x: Column) -> Column:
     op, amount = x["op"], x["amount"]
-    certainty = F.when(op == "reinforce", F.least(F.lit(1.0), state["certainty"] + F.coalesce(amount, F.lit(BOOST)))).when(op == "contradict", F.greatest(F.lit(0.0), state["certainty"] - F.coalesce(amount, F.lit(DROP)))).otherwise(state["certainty"])
-    status = F.when(op == "contradict", "contradicted").when(op == "invalidate", "superseded").otherwise(state["status"])
-    importance = F.when(op == "importance", F.greatest(F.lit(0.0), F.least(F.lit(1.0), amount))).otherwise(state["importance"])
-    verified = F.when(op.isin("reinforce", "contradict", "invalidate"), x["op_ms"]).otherwise(state["last_verified_ms"])
-    gone = state["deleted"] | (op == "delete")
-    return F.struct(certainty.alias("certainty"), (state["reinforcement_count"] + (op == "reinforce").cast("long")).alias("reinforcement_count"), status.alias("status"), importance.alias("importance"), verified.alias("last_verified_ms"), gone.alias("deleted"))
-
-
-def fold(operations: DataFrame, start: Column | None = None) -> DataFrame:
-    """State of each (owner_id, memory_id) after its operations in order of time and sequence."""
-    zero = start if start is not None else F.struct(F.lit(0.5).alias("certainty"), F.lit(0).cast("long").alias("reinforcement_count"), F.lit("active").alias("status"), F.lit(0.5).alias("importance"), F.lit(None).cast("long").alias("last_verified_ms"), F.lit(False).alias("deleted"))
-    packed = operations.groupBy("owner_id", "memory_id").agg(F.array_sort(F.collect_list(F.struct("op_ms", "seq", "op", "amount"))).alias("ops"))
-    return packed.select("owner_id", "memory_id", F.aggregate("ops", zero, _step).alias("state")).select("owner_id", "memory_id", "state.*")
-
-
-def current(memories: DataFrame, operations: DataFrame) -> DataFrame:
-    """Memories with their operations applied; deleted ones go."""
-    state = fold(operations).select(F.col("memory_id").alias("id"), *[F.col(c).alias(f"_{c}") for c in ("certainty", "reinforcement_count", "status", "importance", "last_verified_ms", "deleted")])
-    both = memories.join(state, "id", "left").where("NOT coalesce(_deleted, false)")
-    return both.withColumns({c: F.coalesce(f"_{c}", c) for c in ("certainty", "reinforcement_count", "status", "importance", "last_verified_ms")}).drop(*[f"_{c}" for c in ("certainty", "reinforcement_count", "status", "importance", "last_verified_ms", "deleted")])
+    raised = F.least(F.lit(1.0), state["certainty"] + F.coalesce(amount, F.lit(BOOST)))
+    lowered = F.greatest(F.lit(0.0), state["certainty"] - F.coalesce(amount, F.lit(DROP)))
+    return F.struct(
+        F.when(op == "reinforce", raised).when(op == "contradict", lowered).otherwise(state["certainty"]).alias("certainty"),
+        (state["reinforcement_count"] + (op == "reinforce").cast("long")).alias("reinforcement_count"),
+        F.when(op == "contradict", "contradicted").when(op == "invalidate", "superseded").otherwise(state["status"]).alias("status"),
+        F.when(op == "importance", F.greatest(F.lit(0.0), F.least(F.lit(1.0), amount))).otherwise(state["importance"]).alias("importance"),
+        F.when(op.isin("reinforce", "contradict", "invalidate"), x["op_ms"]).otherwise(state["last_verified_ms"]).alias("last_verified_ms"),
+        F.when(op == "archive", "archived").otherwise(state["tier"]).alias("tier"),
+        (state["deleted"] | (op == "delete")).alias("deleted"),
+    )
+
+
+def _packed(operations: DataFrame, order: tuple[str, ...]) -> DataFrame:
+    """The operations of each (owner_id, memory_id), sorted."""
+    row = F.struct(*order, *[c for c in OPERATION if c not in order])
+    return operations.groupBy("owner_id", "memory_id").agg(F.array_sort(F.collect_list(row)).alias("ops"))
+
+
+def fold(operations: DataFrame, order: tuple[str, ...] = ("op_ms", "seq")) -> DataFrame:
+    """State of each (owner_id, memory_id), from that of a new memory, after its operations."""
+    fresh = {"certainty": F.lit(0.5), "reinforcement_count": F.lit(0).cast("long"), "status": F.lit("active"), "importance": F.lit(0.5)}
+    fresh |= {"last_verified_ms": F.lit(None).cast("long"), "tier": F.lit("working"), "deleted": F.lit(False)}
+    zero = F.struct(*[x.alias(c) for c, x in fresh.items()])
+    return _packed(operations, order).select("owner_id", "memory_id", F.aggregate("ops", zero, _step).alias("state")).select("owner_id", "memory_id", "state.*")
+
+
+def current(memories: DataFrame, operations: DataFrame, order: tuple[str, ...] = ("seq", "op_ms")) -> DataFrame:
+    """Memories with their operations applied to their rows, in the order of calls; deleted ones go."""
+    packed = _packed(operations, order).withColumnRenamed("memory_id", "id")
+    start = F.struct(*STATE, F.lit(False).alias("deleted"))
+    state = F.when(F.col("ops").isNull(), start).otherwise(F.aggregate("ops", start, _step))
+    both = memories.join(packed, ["owner_id", "id"], "left").withColumn("_state", state).where("NOT _state.deleted")
+    return both.withColumns({c: F.col(f"_state.{c}") for c in STATE}).select(*memories.columns)
 
 
 def find_contradictions(statements: DataFrame, memories: DataFrame, limit: int = 20) -> DataFrame:
@@ -59,8 +77,6 @@ def forget(memories: DataFrame, before: int | None = None, id: str | None = None
 
 def timeline(memories: DataFrame, limit: int = 50) -> DataFrame:
     """Events of each owner's oldest rows: creation, a status change one millisecond later, reinforcement."""
-    from pyspark.sql import Window
-
     old = memories.withColumn("n", F.row_number().over(Window.partitionBy("owner_id").orderBy("ts_ms", "id"))).where(F.col("n") <= limit)
     event = lambda ms, name, k, importance: F.struct(ms.cast("long").alias("event_ms"), name.alias("event"), F.lit(k).alias("part"), importance.alias("importance"))
     none = F.lit(None).cast("double")

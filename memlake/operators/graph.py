@@ -18,9 +18,11 @@ def valid_triples(triples: DataFrame) -> DataFrame:
 
 
 def upsert_edges(triples: DataFrame) -> DataFrame:
-    """One edge per (session, from, relation, to): the last written. Columns as ``EDGES``, without id collisions."""
+    """One edge per (session, from, relation, to): the last written, by ``seq`` and, if there, ``pos`` (the place in
+    what was written at once). Columns as ``EDGES``, without id collisions."""
+    order = F.struct("seq", "pos") if "pos" in triples.columns else F.col("seq")
     key = ["session_id", "from_entity", "relation", "to_entity"]
-    last = triples.groupBy(*key).agg(F.max_by(F.struct("confidence", "memory_id", F.col("seq").alias("created_ms")), F.col("seq")).alias("last"))
+    last = triples.groupBy(*key).agg(F.max_by(F.struct("confidence", "memory_id", F.col("seq").alias("created_ms")), order).alias("last"))
     return last.select(*key, F.coalesce("last.confidence", F.lit(1.0)).alias("confidence"), "last.memory_id", "last.created_ms").withColumn("id", short_hash(*[F.col(k) for k in key]))
 
 

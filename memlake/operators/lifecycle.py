@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from memlake.providers import Summariser
-from memlake.schema import short_hash, with_defaults
+from memlake.providers import Embedder, Summariser
+from memlake.schema import MAX_CONTENT, short_hash, with_defaults
 
 
 def consolidation_candidates(memories: DataFrame, batch: int = 50, keep: int = 20, threshold: float = 0.8) -> DataFrame:
     """Each owner's oldest working rows below the importance threshold: ``batch`` at most, and never the
-    last ``keep`` of the rows looked at. Status doesn't count."""
-    order = Window.partitionBy("owner_id").orderBy("ts_ms", "id")
+    last ``keep`` of all such rows. Status doesn't count.
+
+    Only an owner's oldest batch + keep rows can matter, so rows are limited (before the exchange too) and then counted."""
     rows = memories.where((F.col("tier") == "working") & (F.col("importance") < threshold))
-    rows = rows.withColumn("place", F.row_number().over(order)).withColumn("n", F.count("*").over(Window.partitionBy("owner_id")))
+    oldest = Window.partitionBy("owner_id").orderBy("ts_ms", "id")
+    rows = rows.withColumn("place", F.row_number().over(oldest)).where(F.col("place") <= batch + keep)
+    rows = rows.withColumn("n", F.count("*").over(Window.partitionBy("owner_id")))
     return rows.where(F.col("place") <= F.least(F.lit(batch), F.col("n") - keep)).drop("n")
 
 
@@ -23,11 +26,11 @@ def over_threshold(memories: DataFrame, threshold: int = 100) -> DataFrame:
     return memories.where("tier = 'working'").groupBy("owner_id").agg(F.count("*").alias("working")).where(F.col("working") > threshold)
 
 
-def consolidate(memories: DataFrame, summariser: Summariser, as_of_ms: int, batch: int = 50, keep: int = 20, threshold: float = 0.8, dry_run: bool = False) -> tuple[DataFrame, DataFrame]:
+def consolidate(memories: DataFrame, summariser: Summariser, as_of_ms: int, batch: int = 50, keep: int = 20, threshold: float = 0.8, dry_run: bool = False, embedder: Embedder | None = None, max_content: int = MAX_CONTENT) -> tuple[DataFrame, DataFrame]:
     """Memories after consolidation and a report (owner_id, summarized, created, archived, previews).
 
-    Summaries become long-term rows; their sources are archived. Owners for whom the summariser gives
-    nothing keep their rows."""
+    Summaries become long-term rows: cut as any content, with the hash of the whole summary and, given an embedder,
+    a vector. Their sources are archived. Owners for whom the summariser gives nothing keep their rows."""
     picked = consolidation_candidates(memories, batch, keep, threshold)
     packed = picked.groupBy("owner_id").agg(F.array_sort(F.collect_list(F.struct("place", "id", "content"))).alias("rows"))
     made = summariser(packed.select("owner_id", F.transform("rows", lambda r: r["content"]).alias("contents"), F.transform("rows", lambda r: r["id"]).alias("ids")))
@@ -43,7 +46,10 @@ def consolidate(memories: DataFrame, summariser: Summariser, as_of_ms: int, batc
     new = good.select("owner_id", "ids", F.explode("summaries").alias("content"))
     scope = memories.select("owner_id", "scope").distinct() if "scope" in memories.columns else None
     new = new.join(scope, "owner_id") if scope is not None else new
-    new = new.select("*", short_hash(F.col("owner_id"), F.lit("lt"), F.col("content"), F.lit(as_of_ms)).alias("id"), F.lit("system").alias("role"), F.lit(as_of_ms).cast("long").alias("ts_ms"), F.lit("long_term").alias("tier"), F.col("ids").alias("consolidated_from")).drop("ids")
+    new = embedder(new) if embedder is not None else new
+    hashes = [short_hash(F.col("owner_id"), F.lit("lt"), F.col("content"), F.lit(as_of_ms)).alias("id"), F.substring(F.sha2("content", 256), 1, 16).alias("content_hash")]
+    new = new.select("*", *hashes).withColumn("content", F.substring("content", 1, max_content))
+    new = new.select("*", F.lit("system").alias("role"), F.lit(as_of_ms).cast("long").alias("ts_ms"), F.lit("long_term").alias("tier"), F.col("ids").alias("consolidated_from")).drop("ids")
     return with_defaults(kept).unionByName(with_defaults(new), allowMissingColumns=True), report
 
 

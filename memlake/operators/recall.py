@@ -122,6 +122,14 @@ def reflect_order(recalled: DataFrame) -> DataFrame:
     return rows.withColumn("reflect_position", F.row_number().over(order))
 
 
+def with_metadata(memories: DataFrame, wanted: dict[str, str]) -> DataFrame:
+    """Rows whose metadata (a JSON object) has these values of top-level fields; an opt-in filter."""
+    rows = memories
+    for key, value in wanted.items():
+        rows = rows.where(F.try_element_at(F.from_json("metadata", "map<string,string>"), F.lit(key)) == value)
+    return rows
+
+
 def vector_search(memories: DataFrame, query_vector: DataFrame, limit: int = 10, threshold: float = 0.0, agent_id: str | None = None) -> DataFrame:
     """Top rows of the whole store by strict cosine at or over the threshold; not filtered by agent unless asked for."""
     rows = memories if agent_id is None else memories.where(F.col("owner_id") == agent_id)

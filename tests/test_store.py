@@ -27,7 +27,7 @@ def test_remember_and_belief(lake):
     lake.set_importance(new.id, 7.0, as_of_ms=31)
     assert rows(lake.memories(), "importance") == [(1.0,)]
     later = lake.contradict("s1", new.id, "User prefers Rust", as_of_ms=40).first()
-    assert later.metadata == f'{{"contradicts":"{new.id}"}}'
+    assert later.metadata == f'{{"contradicts":["{new.id}"]}}'
     assert rows(lake.recall("s1"), "id") == [(later.id,)]
     assert [r.event for r in lake.timeline("s1").orderBy("position").collect()] == ["created", "contradicted", "reinforced", "created"]
     lake.invalidate(later.id, as_of_ms=50)
@@ -37,6 +37,26 @@ def test_remember_and_belief(lake):
         lake.remember("s1", "x", role="robot")
 
 
+def test_operations_start_from_the_row_and_keep_their_order(spark, lake):
+    """Calls at one time apply in the order of the calls; what they don't touch stays."""
+    row = [("s1", "a fact", "user", 5)]
+    new = S.remembered(spark.createDataFrame(row, "owner_id string, content string, role string, ts_ms long"), "session")
+    lake.store.append("memories", new.withColumn("importance", F.lit(1.0)))
+    id = new.first().id
+    for _ in range(4):
+        lake.reinforce(id, as_of_ms=9)
+    lake.apply(lake._ids(id), "contradict", belief.DROP, 9)
+    assert rows(lake.memories(), "certainty", "importance", "reinforcement_count", "status") == [(0.75, 1.0, 4, "contradicted")]
+    other = lake.remember("s1", "again").first(), lake.remember("s1", "again").first()
+    assert other[0].id != other[1].id and other[0].ts_ms < other[1].ts_ms
+
+
+def test_contradict_with_blank_content_only_marks(lake):
+    new = lake.remember("s1", "likes tea", as_of_ms=1).first()
+    assert lake.contradict("s1", new.id, "  ", as_of_ms=2) is None
+    assert rows(lake.memories(), "status", "certainty") == [("contradicted", 0.25)]
+
+
 def test_forget_and_stats(lake):
     for k in range(4):
         lake.remember("s1", f"note number {k}", as_of_ms=k)
@@ -64,6 +84,9 @@ def test_consolidate(lake):
     assert (dry.summarized, dry.created, dry.archived, len(dry.previews)) == (3, 0, 0, 1)
     done = lake.consolidate("s1", 3, 2, as_of_ms=100).first()
     assert (done.summarized, done.created, done.archived) == (3, 1, 3)
+    made = lake.memories().where("tier = 'long_term'").first()
+    assert len(made.embedding) == 64 and len(made.content_hash) == 16 and made.consolidated_from and made.role == "system"
+    assert lake.recall("s1", "fact", 10).where("tier = 'long_term'").first().similarity > 0.3
     tiers = {r.tier: r.n for r in stats.by_tier(lake.memories()).collect()}
     assert tiers == {"working": 3, "archived": 3, "long_term": 1}
     assert lake.handle_sleep("s1", "nobody") == []
@@ -132,6 +155,10 @@ def test_agents(spark, tmp_path):
     assert agents.search("red green blue", 1).first().id == a.id
     assert agents.get(a.id, 5).first().access_count == 1
     assert [r.owner_id for r in agents.list("y").collect()] == ["y"]
+    agents.store("y", "one two three four", metadata='{"lang": "en", "n": 3}', as_of_ms=3)
+    assert [r.content for r in agents.search("one two three", 5, metadata={"lang": "en"}).collect()] == ["one two three four"]
+    agents.wake(100)
+    assert agents.sleep(160) == 60 and agents.sleep(170) is None
     agents.forget(a.id)
     assert agents.get(a.id).isEmpty()
 
