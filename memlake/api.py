@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from memlake import schema as S
 from memlake.functions.text import parsed_importance
 from memlake.operators import belief, graph, lifecycle, recall, stats
-from memlake.providers import Embedder, Generator, Summariser, first_sentences, hash_embedder, parsed_conflicts, parsed_strings, parsed_triples
+from memlake.providers import Embedder, Generator, Summariser, first_sentences, hash_embedder, no_reply, parsed_triples
 from memlake.sources.store import Store
 
 LOG_SCHEMA = S.OPERATIONS
@@ -163,28 +163,16 @@ class MemoryLake:
     def detect_contradictions(self, session_id: str, content: str, limit: int = 20) -> DataFrame:
         said = self.spark.createDataFrame([(session_id, "new", content)], "owner_id string, statement_id string, statement string")
         mem = self.memories(owner=session_id)
-        plain = belief.find_contradictions(said, mem, limit)
-        if not (self.config.contradiction_detection and self.generator is not None):
-            return plain
-        recent = recall.newest(mem.where((F.col("status") == "active") & (F.col("tier") != "archived")), limit)
-        packed = recent.groupBy("owner_id").agg(F.array_sort(F.collect_list(F.struct("position", F.col("id").alias("memory_id"), "content", "certainty"))).alias("rows"))
-        prompt = F.concat(F.lit('Which memories does the statement contradict? Reply {"contradictions": [{"index": N}]}.\n'), F.lit(content), F.lit("\n"), F.to_json(F.transform("rows", lambda r: r["content"])))
-        asked = self.generator(packed.withColumn("prompt", prompt)).withColumn("numbers", parsed_conflicts(F.col("reply")))
-        if asked.where("numbers IS NOT NULL").isEmpty():
-            return plain
-        hits = asked.select("owner_id", F.explode(F.array_distinct("numbers")).alias("k"), "rows").select("owner_id", F.lit("new").alias("statement_id"), F.get("rows", F.col("k") - 1).alias("r"))
-        return hits.where("r IS NOT NULL").select("owner_id", "statement_id", "r.memory_id", "r.content", "r.certainty", F.lit(0.8).alias("similarity"))
+        if self.config.contradiction_detection and self.generator is not None:
+            return belief.contradictions_by_model(said, mem, self.generator, limit)
+        return belief.find_contradictions(said, mem, limit)
 
     def reflect(self, session_id: str, query: str, limit: int = 20, user_id: str | None = None, include_archived: bool = False) -> tuple[DataFrame, DataFrame]:
         """Insights (query, insights) and the memories used, in order. A failed model call gives their contents."""
         tiers = S.TIERS if include_archived else recall.LIVE
         used = recall.reflect_order(recall.recall(self.memories(owner=session_id), query, limit, self._vector(query), tiers=tiers))
-        packed = used.groupBy("owner_id").agg(F.array_sort(F.collect_list(F.struct("reflect_position", "certainty", "importance", "content"))).alias("rows"))
-        lines = F.array_join(F.transform("rows", lambda r: F.concat(F.lit("["), r["reflect_position"].cast("string"), F.lit("] "), r["content"])), "\n")
-        asked = packed.withColumn("prompt", F.concat(F.lit("Give insights on the query as a JSON array of strings.\n"), F.lit(query), F.lit("\n"), lines))
-        asked = self.generator(asked) if self.generator is not None else asked.withColumn("reply", F.lit(None).cast("string"))
-        insights = F.when(F.col("reply").isNull(), F.transform("rows", lambda r: r["content"])).otherwise(parsed_strings(F.col("reply")))
-        return asked.select(F.lit(query).alias("query"), insights.alias("insights")), used
+        found = lifecycle.insights(used, query, self.generator or no_reply)
+        return found.select(F.lit(query).alias("query"), "insights"), used
 
     def _triples(self) -> DataFrame:
         return self.store.read("triples", "session_id string, from_entity string, relation string, to_entity string, confidence double, memory_id string, seq long, pos int")

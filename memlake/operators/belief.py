@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from memlake.functions import text as T
 from memlake.operators.recall import newest
+from memlake.providers import Generator, parsed_conflicts, unfenced
 
 BOOST, DROP = 0.15, 0.25
 #: What operations change.
@@ -66,6 +67,21 @@ def find_contradictions(statements: DataFrame, memories: DataFrame, limit: int =
     return hits.select("owner_id", "statement_id", "memory_id", "content", "certainty", T.overlap(F.col("new"), F.col("old")).alias("similarity"))
 
 
+def contradictions_by_model(statements: DataFrame, memories: DataFrame, generator: Generator, limit: int = 20) -> DataFrame:
+    """Conflicts as a model sees them, which gets each owner's newest rows as a numbered list; similarity 0.8. Where
+    it gives no reply, or one that can't be read, the heuristic decides."""
+    recent = newest(memories.where("status = 'active' AND tier <> 'archived'"), limit)
+    packed = recent.groupBy("owner_id").agg(F.array_sort(F.collect_list(F.struct("position", F.col("id").alias("memory_id"), "content", "certainty"))).alias("rows"))
+    task = F.lit('Which memories does the statement contradict? Reply {"contradictions": [{"index": N}]}.\n')
+    prompt = F.concat(task, F.col("statement"), F.lit("\n"), F.to_json(F.transform("rows", lambda r: r["content"])))
+    asked = generator(statements.join(packed, "owner_id").withColumn("prompt", prompt))
+    asked = asked.withColumn("numbers", parsed_conflicts(unfenced(F.col("reply"))))
+    hits = asked.select("owner_id", "statement_id", F.explode(F.array_distinct("numbers")).alias("k"), "rows").withColumn("r", F.get("rows", F.col("k") - 1))
+    found = hits.where("r IS NOT NULL").select("owner_id", "statement_id", "r.memory_id", "r.content", "r.certainty", F.lit(0.8).alias("similarity"))
+    silent = asked.where("numbers IS NULL").select(*statements.columns)
+    return found.unionByName(find_contradictions(silent, memories, limit))
+
+
 def forget(memories: DataFrame, before: int | None = None, id: str | None = None, include_long_term: bool = False) -> tuple[DataFrame, DataFrame]:
     """Rows that stay and rows that go. An id goes whatever its tier; else working and long-term rows
     (archived ones only with ``include_long_term``) before a time, or all of them."""

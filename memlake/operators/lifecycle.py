@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from memlake.providers import Embedder, Summariser
+from memlake.providers import Embedder, Generator, Summariser, parsed_strings
 from memlake.schema import MAX_CONTENT, short_hash, with_defaults
 
 
@@ -58,3 +58,15 @@ def briefing(recalled: DataFrame) -> DataFrame:
     packed = recalled.groupBy("owner_id").agg(F.array_sort(F.collect_list(F.struct("position", "content"))).alias("rows"))
     lines = F.array_join(F.transform("rows", lambda r: F.concat(F.lit("- "), r["content"])), "\n")
     return packed.select("owner_id", F.concat(F.lit("Briefing ("), F.size("rows").cast("string"), F.lit(" items):\n"), lines).alias("briefing"))
+
+
+def insights(used: DataFrame, query: str, generator: Generator) -> DataFrame:
+    """(owner_id, insights) on a query from the memories used, in their order (``recall.reflect_order``). Without a
+    reply the memories' contents stand for them."""
+    row = F.struct("reflect_position", "certainty", "importance", "content")
+    packed = used.groupBy("owner_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    lines = F.array_join(F.transform("rows", lambda r: F.concat(F.lit("["), r["reflect_position"].cast("string"), F.lit("] "), r["content"])), "\n")
+    task = F.lit(f"Give insights on the query as a JSON array of strings.\n{query}\n")
+    asked = generator(packed.withColumn("prompt", F.concat(task, lines)))
+    found = F.when(F.col("reply").isNull(), F.transform("rows", lambda r: r["content"])).otherwise(parsed_strings(F.col("reply")))
+    return asked.select("owner_id", found.alias("insights"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from memlake.schema import TIERS
@@ -29,17 +29,24 @@ def graph_counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return a.join(b, "session_id", "full").na.fill(0)
 
 
-def percentiles(samples: DataFrame, value: str, *by: str, at: tuple[float, ...] = (0.5, 0.95, 0.99)) -> DataFrame:
+def percentiles(samples: DataFrame, value: str, *by: str, at: tuple[float, ...] = (0.5, 0.95, 0.99), cells: int = 64) -> DataFrame:
     """Nearest rank: the sample at place floor(n q) of the sorted samples, from 0; and the least and largest.
 
-    Per group only distinct values with their counts are sorted, after partial counting."""
-    from pyspark.sql import Window
-
-    counts = samples.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("c"))
-    order = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    placed = counts.withColumn("upto", F.sum("c").over(order)).withColumn("n", F.sum("c").over(Window.partitionBy(*by)))
-    pick = lambda q: F.min(F.when(F.col("upto") > F.least(F.floor(F.col("n") * q), F.col("n") - 1), F.col(value)))
-    return placed.groupBy(*by).agg(F.max("n").alias("n"), *[pick(q).alias(f"p{round(q * 100)}") for q in at], F.min(value).alias("least"), F.max(value).alias("largest"))
+    Distinct values with their counts, after partial counting, are dealt to ``cells`` ranges a group (bounds from a
+    sketch, so about even). Ranges are sorted apart and start at the exact number of samples below them, so that no
+    task sorts a whole group and the picked samples are exact."""
+    rows = samples.where(F.col(value).isNotNull()).select(F.struct(*by, F.lit(0).alias("_")).alias("g"), F.col(value).alias("v"))
+    counts = rows.groupBy("g", "v").agg(F.count("*").alias("c"))
+    bounds = counts.groupBy("g").agg(F.percentile_approx("v", [k / cells for k in range(1, cells)], 1000).alias("bounds"))
+    dealt = counts.join(bounds, "g").select("g", "v", "c", F.size(F.filter("bounds", lambda b: b <= F.col("v"))).alias("cell"))
+    group = Window.partitionBy("g")
+    below = F.sum("inside").over(group.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1))
+    starts = dealt.groupBy("g", "cell").agg(F.sum("c").alias("inside")).select("g", "cell", F.coalesce(below, F.lit(0)).alias("below"), F.sum("inside").over(group).alias("n"))
+    order = Window.partitionBy("g", "cell").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = dealt.withColumn("own", F.sum("c").over(order)).join(starts, ["g", "cell"]).withColumn("upto", F.col("below") + F.col("own"))
+    pick = lambda q: F.min(F.when(F.col("upto") > F.least(F.floor(F.col("n") * q), F.col("n") - 1), F.col("v")))
+    found = placed.groupBy("g").agg(F.max("n").alias("n"), *[pick(q).alias(f"p{round(q * 100)}") for q in at], F.min("v").alias("least"), F.max("v").alias("largest"))
+    return found.select("g.*", *[c for c in found.columns if c != "g"]).drop("_")
 
 
 def accuracy(results: DataFrame, correct: str, *by: str) -> DataFrame:

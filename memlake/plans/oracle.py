@@ -48,7 +48,7 @@ def _cosine(a: str, b: str) -> str:
 
 
 MEM = f"""mem AS (
-  SELECT *, substr(sha256(owner_id || ':' || text || ':' || CAST(ts_ms AS VARCHAR)), 1, 16) AS id, substr(text, 1, 4000) AS content,
+  SELECT *, substr(sha256(owner_id || ':' || text || ':' || CAST(ts_ms AS VARCHAR)), 1, 16) AS id, text AS content,
     CASE WHEN turn % 7 = 6 THEN 'archived' WHEN turn % 5 = 4 THEN 'long_term' ELSE 'working' END AS tier,
     CASE WHEN turn % 6 = 5 THEN 'superseded' WHEN (conv_id + turn) % 11 = 7 THEN 'contradicted' ELSE 'active' END AS status,
     CAST((conv_id * 7 + turn * 3) % 10 AS DOUBLE) / 10 AS importance, 0.5::double + CAST(turn % 3 AS DOUBLE) * 0.15::double AS certainty,
@@ -56,7 +56,7 @@ MEM = f"""mem AS (
   FROM (SELECT *, CAST(conv_id AS VARCHAR) AS owner_id, {EPOCH} + conv_id * 1000000 + turn * 1000 AS ts_ms FROM conversations)
 )"""
 USERS = f"""users AS (
-  SELECT *, substr(sha256(owner_id || ':' || text || ':' || CAST(ts_ms AS VARCHAR)), 1, 16) AS id, substr(text, 1, 4000) AS content,
+  SELECT *, substr(sha256(owner_id || ':' || text || ':' || CAST(ts_ms AS VARCHAR)), 1, 16) AS id, text AS content,
     CASE WHEN doc_id % 3 = 0 THEN 'assistant' ELSE 'user' END AS role,
     CASE WHEN doc_id % 9 = 8 THEN 'archived' WHEN doc_id % 4 = 3 THEN 'long_term' ELSE 'working' END AS tier
   FROM (SELECT *, source AS owner_id, {EPOCH} + doc_id * 1000 AS ts_ms FROM documents)
@@ -222,7 +222,7 @@ SQL: dict[str, str] = {
     "claims_pipeline": f"SELECT id, canonical_text, coalesce(reason, {_ENTITY}, {_INFER}) AS reason FROM ({_atomic(_STAGES)}) c",
     "claim_confidence": f"SELECT id, 0.25::double * extraction_confidence + 0.25::double * entity_resolution_confidence + 0.2::double * temporal_resolution_confidence + 0.15::double * ({_SAY['explicitness']}) + 0.1::double * least(CAST(support_count AS DOUBLE) / 5, 1.0::double) + 0.05::double * source_directness AS confidence FROM {CL}",
     "eval_chunk_index": "SELECT conv_id AS window_id, string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS chunk FROM conversations GROUP BY conv_id",
-    "eval_topk_context": f"WITH {VECS} SELECT question_id, context_id, score, position FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, context_id) AS position FROM (SELECT a.vec_id AS question_id, b.vec_id AS context_id, {_cosine('a.v', 'b.v')} AS score FROM vecs a CROSS JOIN vecs b WHERE a.vec_id % 50 = 0)) WHERE position <= 3",
+    "eval_topk_context": f"WITH {VECS} SELECT question_id, context_id, score, position FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, context_id) AS position FROM (SELECT a.vec_id AS question_id, b.vec_id AS context_id, {_cosine('a.v', 'b.v')} AS score FROM vecs a CROSS JOIN vecs b WHERE a.vec_id % 20 = 0)) WHERE position <= 3",
     "eval_exact_match": f"SELECT mode, count(*) AS total, avg(CAST(contains(lower(answer), lower(expected)) OR contains(lower(expected), lower(answer)) AS INTEGER)) AS score FROM {X.values(X.ANSWERS, ['mode', 'answer', 'expected'], ['string'] * 3)} GROUP BY mode",
     "temporal_questions": f"SELECT question, {_any('lower(question)', P.TEMPORAL)} AS temporal FROM {X.values([(q,) for q in X.QUESTIONS], ['question'], ['string'])}",
     "streaming_belief": f"WITH {OPS} SELECT CAST(user_id AS VARCHAR) AS owner_id, certainty, reinforcement_count FROM folded",

@@ -331,7 +331,7 @@ def eval_chunk_index(spark, d):
 @query
 def eval_topk_context(spark, d):
     vectors = tables.embeddings(spark, d)
-    asked = vectors.where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("question_vector"))
+    asked = vectors.where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("question_vector"))
     rows = evaluate.top_contexts(asked, vectors.withColumnRenamed("vec_id", "context_id"), 3)
     return rows.withColumn("position", F.col("position").cast("long"))
 

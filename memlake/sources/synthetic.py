@@ -22,7 +22,7 @@ def _pick(words: list[str], n: Column) -> Column:
 def stacks(spark: SparkSession, n: int, start_ms: int = 1_700_000_000_000) -> DataFrame:
     """stack_id, category, sessions array<struct<ts_ms, messages array<struct<role, content>>>>, question, expected."""
     k = F.col("id")
-    name, old, new, dish = _pick(NAMES, k), _pick(TOWNS, k), _pick(TOWNS, k + 3), _pick(DISHES, F.xxhash64(k))
+    name, old, new, dish = _pick(NAMES, k), _pick(TOWNS, k), _pick(TOWNS, k + 3), _pick(DISHES, k * 5 + 2)
     say = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
     at = lambda day, *messages: F.struct((F.lit(start_ms) + k * 1000 + day * DAY_MS).alias("ts_ms"), F.array(*messages).alias("messages"))
     small = say("assistant", F.lit("Noted, thank you."))
@@ -48,3 +48,8 @@ def turns(stacks_: DataFrame) -> DataFrame:
 def aged(rows: DataFrame, days: int) -> DataFrame:
     """The same rows, so many days older."""
     return rows.withColumn("ts_ms", F.col("ts_ms") - days * DAY_MS)
+
+
+def question_set(spark: SparkSession) -> DataFrame:
+    """Twenty questions, two for each of ten windows: id, window_index, question, expected."""
+    return stacks(spark, 20).select(F.col("stack_id").alias("id"), F.floor(F.col("stack_id") / 2).alias("window_index"), "question", "expected")

@@ -1,5 +1,5 @@
 """The benchmark tables as tables of the model. Fields that they lack are fixed rules of their keys, the
-same in the oracle's SQL."""
+same in the oracle's SQL. Texts are whole: only the verbs that store a memory cut it."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memlake.operators.graph import valid_triples
-from memlake.schema import MAX_CONTENT, short_hash
+from memlake.schema import short_hash
 
 EPOCH_MS = 1_700_000_000_000
 
@@ -21,7 +21,7 @@ def session_memories(spark: SparkSession, sf_dir: str, vectors: bool = False) ->
     t = F.col("turn")
     rows = table(spark, sf_dir, "conversations").withColumns({"owner_id": F.col("conv_id").cast("string"), "ts_ms": EPOCH_MS + F.col("conv_id") * 1_000_000 + t * 1000})
     rows = rows.select(
-        "owner_id", short_hash(F.col("owner_id"), F.col("text"), F.col("ts_ms")).alias("id"), F.substring("text", 1, MAX_CONTENT).alias("content"), "role", "ts_ms",
+        "owner_id", short_hash(F.col("owner_id"), F.col("text"), F.col("ts_ms")).alias("id"), F.col("text").alias("content"), "role", "ts_ms",
         F.when(t % 7 == 6, "archived").when(t % 5 == 4, "long_term").otherwise("working").alias("tier"),
         F.when(t % 6 == 5, "superseded").when((F.col("conv_id") + t) % 11 == 7, "contradicted").otherwise("active").alias("status"),
         (((F.col("conv_id") * 7 + t * 3) % 10).cast("double") / 10).alias("importance"), (F.lit(0.5) + (t % 3).cast("double") * 0.15).alias("certainty"),
@@ -51,7 +51,7 @@ def user_memories(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.col("doc_id")
     rows = table(spark, sf_dir, "documents").withColumns({"owner_id": F.col("source"), "ts_ms": EPOCH_MS + d * 1000})
     return rows.select(
-        "owner_id", short_hash(F.col("owner_id"), F.col("text"), F.col("ts_ms")).alias("id"), F.substring("text", 1, MAX_CONTENT).alias("content"), F.when(d % 3 == 0, "assistant").otherwise("user").alias("role"), "ts_ms",
+        "owner_id", short_hash(F.col("owner_id"), F.col("text"), F.col("ts_ms")).alias("id"), F.col("text").alias("content"), F.when(d % 3 == 0, "assistant").otherwise("user").alias("role"), "ts_ms",
         F.when(d % 9 == 8, "archived").when(d % 4 == 3, "long_term").otherwise("working").alias("tier"), F.lit("active").alias("status"),
         ((d * 3 % 10).cast("double") / 10).alias("importance"), (F.lit(0.5) + (d % 5).cast("double") * 0.1).alias("certainty"), d.alias("doc_id"),
     )

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import pytest
 
-from memlake.plans import oracle, queries
+from memlake.plans import oracle, queries, verbs, verbs_sql
 from tests.oracle_check import connection, compare
 
+QUERIES, SQL = queries.REGISTRY | verbs.REGISTRY, oracle.SQL | verbs_sql.SQL
+
 
 @pytest.fixture(scope="module")
 def con():
@@ -14,12 +16,12 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(queries.REGISTRY) == set(oracle.SQL)
+    assert set(QUERIES) == set(SQL)
 
 
-@pytest.mark.parametrize("name", sorted(queries.REGISTRY))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, con, name):
-    compare(spark, con, queries.REGISTRY[name], oracle.SQL[name])
+    compare(spark, con, QUERIES[name], SQL[name])
 
 
 def test_entry(spark):

@@ -143,6 +143,28 @@ def test_percentiles_are_nearest_rank(spark):
     assert (got.n, got.p50, got.p95, got.p99, got.least, got.largest) == (5, 5.0, 9.0, 9.0, 1.0, 9.0)
 
 
+def test_percentiles_over_ranges_are_exact(spark):
+    import random
+
+    rng = random.Random(4)
+    data = [("a", rng.gauss(0, 1)) for _ in range(700)] + [("a", 0.5)] * 300 + [(None, float(k % 7)) for k in range(200)] + [("one", 3.0), ("none", None)]
+    got = {r.g: r for r in stats.percentiles(spark.createDataFrame(data, "g string, v double"), "v", "g", cells=8).collect()}
+    assert set(got) == {"a", None, "one"}
+    for g, r in got.items():
+        own = sorted(v for k, v in data if k == g and v is not None)
+        at = lambda q: own[min(int(len(own) * q), len(own) - 1)]
+        assert (r.n, r.p50, r.p95, r.p99, r.least, r.largest) == (len(own), at(0.5), at(0.95), at(0.99), own[0], own[-1])
+    plain = stats.percentiles(spark.createDataFrame(data, "g string, v double"), "v").first()
+    assert plain.n == 1201
+
+
+def test_consolidation_limits_before_it_counts(spark):
+    mem = spark.createDataFrame([("s", str(k), k, "working", 0.5) for k in range(15)], "owner_id string, id string, ts_ms long, tier string, importance double")
+    found = lifecycle.consolidation_candidates(mem, 4, 3)
+    assert {r.id for r in found.collect()} == {"0", "1", "2", "3"}
+    assert "WindowGroupLimit" in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_important_rows_are_kept(spark):
     mem = spark.createDataFrame([("s", str(k), k, "working", 0.9 if k < 3 else 0.5) for k in range(15)], "owner_id string, id string, ts_ms long, tier string, importance double")
     assert {r.id for r in lifecycle.consolidation_candidates(mem, 15, 0).collect()} == {str(k) for k in range(3, 15)}
