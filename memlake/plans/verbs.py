@@ -57,7 +57,7 @@ def row_defaults(spark, d):
     return full.select("id", "importance", "certainty", "reinforcement_count", "last_verified_ms", "tier", "memory_type", "status")
 
 
-def _lake(spark: SparkSession, d: str, **config) -> MemoryLake:
+def lake_of(spark: SparkSession, d: str, **config) -> MemoryLake:
     """A store with the conversations as session memories, in the state that the table gives them."""
     lake = MemoryLake(spark, scratch(spark, "lake"), S.Config(**config))
     lake.store.append("memories", S.with_defaults(tables.session_memories(spark, d).drop("vec_id").withColumn("scope", F.lit("session"))))
@@ -66,14 +66,14 @@ def _lake(spark: SparkSession, d: str, **config) -> MemoryLake:
 
 @query
 def store_roundtrip(spark, d):
-    lake = _lake(spark, d)
+    lake = lake_of(spark, d)
     lake.close()
     return lake.memories().select("id", "owner_id", "content", "tier", "status", "importance", "certainty")
 
 
 @query
 def owner_rows(spark, d):
-    return _lake(spark, d).memories(owner="3").select("id", "tier", "status")
+    return lake_of(spark, d).memories(owner="3").select("id", "tier", "status")
 
 
 def _state(lake: MemoryLake) -> DataFrame:
@@ -82,7 +82,7 @@ def _state(lake: MemoryLake) -> DataFrame:
 
 @query
 def api_reinforce(spark, d):
-    lake = _lake(spark, d)
+    lake = lake_of(spark, d)
     for ms in (5, 5, 5):
         lake.apply(lake.memories(), "reinforce", belief.BOOST, ms)
     return _state(lake)
@@ -91,7 +91,7 @@ def api_reinforce(spark, d):
 @query
 def api_contradict(spark, d):
     """Three boosts reach the upper bound; what follows shows their order, though all have one time."""
-    lake = _lake(spark, d)
+    lake = lake_of(spark, d)
     for op, amount in (("reinforce", 0.15), ("reinforce", 0.9), ("contradict", belief.DROP), ("reinforce", 0.15), ("contradict", belief.DROP)):
         lake.apply(lake.memories(), op, amount, 9, "session")
     return _state(lake)
@@ -99,7 +99,7 @@ def api_contradict(spark, d):
 
 @query
 def api_set_importance(spark, d):
-    lake = _lake(spark, d)
+    lake = lake_of(spark, d)
     for amount in (1.7, -0.5, 0.35):
         lake.apply(lake.memories(), "importance", amount, 3)
     return _state(lake)
@@ -107,7 +107,7 @@ def api_set_importance(spark, d):
 
 @query
 def api_invalidate(spark, d):
-    lake = _lake(spark, d)
+    lake = lake_of(spark, d)
     lake.apply(lake.memories().where("role = 'user'"), "invalidate", None, 77)
     return _state(lake)
 
@@ -115,7 +115,7 @@ def api_invalidate(spark, d):
 @query
 def api_forget(spark, d):
     """The oldest session's unarchived rows go, by the verb."""
-    lake = _lake(spark, d)
+    lake = lake_of(spark, d)
     lake.forget("1", as_of_ms=4)
     return lake.memories().select("id", "owner_id", "tier")
 
