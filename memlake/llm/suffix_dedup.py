@@ -20,9 +20,11 @@ LENGTH - v + 1 bytes. The sample is |D| / v of all positions (12 of 133).
    repeat. Only suffixes whose bytes step 1 has not yet found removed need the answer sent back.
 3. The repeats' spans return to their documents.
 
-Between the steps positions travel as packed integers by blocks of documents, a few thousand a row,
-so a string with very many copies is a few packed numbers more and not a hot key: a bucket's size is
-the number of positions that hash there. Memory: a bucket of names, or the documents of a batch.
+Between the steps positions travel as packed integers by blocks of documents, a few thousand a row.
+Names that recur within a batch of documents are tied there and then: their positions go straight to
+their documents and one representative of each name goes to its bucket. So a string with very many
+copies is one position a batch in its bucket, and not a hot key. Rounds are as many as keep a bucket at
+the names of ``BUCKET_BYTES`` of input. Memory: a bucket of names, or the documents of a batch.
 A false tie in step 1 costs a candidate; a false repeat needs two distinct strings with 128 equal
 bits (step 1: short and long name).
 
@@ -40,14 +42,18 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from memlake.llm.common import Stash, bounded_batches
 
 LENGTH, ORDER = 200, 11
-#: Rounds in which buckets are dealt; each needs its share of the disk that all names would need.
+#: Rounds in which buckets are dealt, at least; each needs its share of the disk that all names would need.
 SAMPLE_PASSES, SUFFIX_PASSES = 2, 5
+#: Bytes of text whose names make a bucket at most.
+BUCKET_BYTES = 32 << 20
 #: Blocks of documents a partition holds; bytes of input (as the plan estimates it) for a partition at
 #: least. Every bucket sends a row to every block, so neither is made finer than the data call for.
 BLOCKS, PARTITION_BYTES = 4, 4 << 20
@@ -178,8 +184,37 @@ FOUND, FOUND_KINDS = ["block", "ids", "keys", "counts", "at"], [pa.int32(), *[pa
 NAMED_SCHEMA, FOUND_SCHEMA = f"bucket int, name binary, more binary, {PACK}", f"block int, {PACK}"
 
 
-def sample_names(ids: np.ndarray, keys: np.ndarray, texts: list[bytes], buckets: int, low: int, high: int) -> list[tuple]:
-    """Names of the sample positions of documents."""
+def runs_of(one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs of names: whether the first recurs, whether both do, and whether a pair is the first of its kind."""
+    order = np.lexsort((two, one))
+    same = one[order][1:] == one[order][:-1]
+    both = same & (two[order][1:] == two[order][:-1])
+    out = []
+    for mark in (np.append(same, False) | np.append(False, same), np.append(both, False) | np.append(False, both), ~np.append(False, both)):
+        at = np.zeros(len(one), bool)
+        at[order] = mark
+        out.append(at)
+    return out[0], out[1], out[2]
+
+
+def by_block(ids: np.ndarray, keys: np.ndarray, doc: np.ndarray, at: np.ndarray, blocks: int) -> list[tuple]:
+    """Rows (block, pack) of positions."""
+    if not len(at):
+        return []
+    block = (keys % blocks)[doc]
+    order = np.lexsort((doc, block))
+    doc, block, at = doc[order], block[order], at[order]
+    firsts = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+    return [(int(block[a]), *packed(ids, keys, doc[a:b], at[a:b])) for a, b in zip(firsts, [*firsts[1:], len(doc)], strict=True)]
+
+
+def known(rows: list[tuple], partitions: int) -> list[tuple]:
+    """Rows (block, pack) as rows of a bucket that pass it by: without names, the block instead of them."""
+    return [(block % partitions, b"", np.int32(block).tobytes(), *pack) for block, *pack in rows]
+
+
+def sample_names(ids: np.ndarray, keys: np.ndarray, texts: list[bytes], buckets: int, low: int, high: int, blocks: int) -> list[tuple]:
+    """Names of the sample positions of documents, and the positions that tie among these documents."""
     own = [k for k, t in enumerate(texts) if len(t) >= LENGTH]
     parts = []
     for group in gathered([len(texts[k]) for k in own]):
@@ -207,7 +242,9 @@ def sample_names(ids: np.ndarray, keys: np.ndarray, texts: list[bytes], buckets:
     if not parts:
         return []
     name, more, doc, at = (np.concatenate(x) for x in zip(*parts, strict=True))
-    return list(dealt([name, more], ids, keys, doc, at, buckets, low, high))
+    tied, start, x = runs_of(name, more)
+    own = by_block(ids, keys, doc[tied], np.where(start & (more != 0), ~at, at)[tied], blocks)
+    return [*known(own, high - low), *dealt([name[x], more[x]], ids, keys, doc[x], at[x], buckets, low, high)]
 
 
 def repeated(bucket: list[pa.RecordBatch], blocks: int, sampled: bool) -> list[tuple]:
@@ -234,19 +271,22 @@ def repeated(bucket: list[pa.RecordBatch], blocks: int, sampled: bool) -> list[t
         tied = np.flatnonzero(start & (at < 0))
         if not len(tied):
             return []
-    doc = np.repeat(np.arange(len(ids)), counts)[tied]
-    block = (keys % blocks)[doc]
-    order = np.lexsort((doc, block))
-    doc, block, at = doc[order], block[order], at[tied][order]
-    firsts = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
-    return [(int(block[a]), *packed(ids, keys, doc[a:b], at[a:b])) for a, b in zip(firsts, [*firsts[1:], len(doc)], strict=True)]
+    return by_block(ids, keys, np.repeat(np.arange(len(ids)), counts)[tied], at[tied], blocks)
 
 
 def sort_buckets(named: DataFrame, partitions: int, blocks: int, sampled: bool) -> DataFrame:
     """Each task sorts one bucket of names and returns what ties there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if held := [b for b in batches if b.num_rows]:
+        held = []
+        for batch in batches:
+            named = pc.greater(pc.binary_length(batch["name"]), 0)
+            if (passing := batch.filter(pc.invert(named))).num_rows:
+                block = pa.array(column(passing, "more", np.int32))
+                yield pa.RecordBatch.from_arrays([block, *[passing[c] for c in FOUND[1:]]], FOUND)
+            if (own := batch.filter(named)).num_rows:
+                held.append(own)
+        if held:
             rows = repeated(held, blocks, sampled)
             for k in range(0, len(rows), 64):
                 yield batch_of(rows[k : k + 64], FOUND, FOUND_KINDS)
@@ -260,20 +300,24 @@ def keyed(docs: DataFrame, blocks: int) -> DataFrame:
     return docs.select(F.col("doc_id"), key.alias("key"), F.pmod(key, F.lit(blocks)).cast("int").alias("block"), text.alias("body"))
 
 
-def with_positions(docs: DataFrame, found: list[DataFrame], partitions: int, blocks: int, fn: Callable, names: list[str], kinds: list[pa.DataType], schema: str, extra: str = "") -> DataFrame:
-    """Brings positions to their documents, block by block: ``fn`` turns documents with their positions
-    into rows. ``extra``: a column that documents carry along as JSON."""
-    nothing = [F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("key")]
-    body = docs.select(F.lit(1).alias("kind"), "block", "doc_id", "key", "body", *[F.lit(None).cast("binary").alias(c) for c in FOUND[1:]], F.col(extra).cast("string").alias("extra") if extra else F.lit(None).cast("string").alias("extra"))
+def with_positions(docs: DataFrame, found: list[DataFrame], partitions: int, blocks: int, fn: Callable, names: list[str], kinds: list[pa.DataType], schema: str) -> DataFrame:
+    """Brings positions to their documents, block by block: ``fn`` turns documents with their positions into rows
+    (columns ``names``). If documents carry a column ``extra``, ``fn`` gives a row each and that passes through."""
+    extra = next((f for f in docs.schema if f.name == "extra"), None)
+    carried = lambda x: [x.alias("extra")] if extra else []
+    nothing = [F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("key"), F.lit(None).cast("binary").alias("body")]
+    body = docs.select(F.lit(1).alias("kind"), "block", "doc_id", "key", "body", *[F.lit(None).cast("binary").alias(c) for c in FOUND[1:]], *carried(F.col("extra")))
     for f in found:
-        body = body.unionByName(f.select(F.lit(0).alias("kind"), "block", *nothing, F.lit(None).cast("binary").alias("body"), *FOUND[1:], F.lit(None).cast("string").alias("extra")))
+        none = carried(F.lit(None).cast(extra.dataType)) if extra else []
+        body = body.unionByName(f.select(F.lit(0).alias("kind"), "block", *nothing, *FOUND[1:], *none))
     rows = body.repartitionById(partitions, F.pmod("block", F.lit(partitions))).sortWithinPartitions("block", "kind")
+    full = StructType([*StructType.fromDDL(schema), *([extra] if extra else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         positions: dict[tuple[int, int], list[np.ndarray]] = {}
         last = None
         for batch in batches:
-            todo = []
+            todo, places = [], []
             blocks_, kinds_ = batch["block"].to_pylist(), batch["kind"].to_pylist()
             for k, (block, kind) in enumerate(zip(blocks_, kinds_, strict=True)):
                 if block != last:
@@ -286,12 +330,16 @@ def with_positions(docs: DataFrame, found: list[DataFrame], partitions: int, blo
                 else:
                     doc, key = batch["doc_id"][k].as_py(), batch["key"][k].as_py()
                     at = positions.get((-1 if doc is None else doc, key))
-                    todo.append((doc, key, batch["body"][k].as_py(), np.concatenate(at) if at else np.zeros(0, np.int32), batch["extra"][k].as_py()))
-            if todo and (out := fn(todo)):
-                for k in range(0, len(out), 512):
-                    yield batch_of(out[k : k + 512], names, kinds)
+                    todo.append((doc, key, batch["body"][k].as_py(), np.concatenate(at) if at else np.zeros(0, np.int32)))
+                    places.append(k)
+            out = fn(todo) if todo else []
+            for k in range(0, len(out), 512):
+                made = batch_of(out[k : k + 512], names, kinds)
+                if extra:
+                    made = pa.RecordBatch.from_arrays([*made.columns, batch["extra"].take(pa.array(places[k : k + 512]))], [*names, "extra"])
+                yield made
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, full)
 
 
 def covered(n: int, starts: np.ndarray) -> np.ndarray:
@@ -311,7 +359,7 @@ def open_suffixes(rows: list[tuple]) -> list[tuple]:
     (first, end), a bit for each start that asks for an answer, the bytes from each run's first start to
     LENGTH - 1 behind its last."""
     out = []
-    for doc, key, text, at, _ in rows:
+    for doc, key, text, at in rows:
         n = len(text)
         if not len(at) or n < LENGTH:
             continue
@@ -330,7 +378,7 @@ def open_suffixes(rows: list[tuple]) -> list[tuple]:
     return out
 
 
-def suffix_names(batch: pa.RecordBatch, buckets: int, low: int, high: int) -> list[tuple]:
+def suffix_names(batch: pa.RecordBatch, buckets: int, low: int, high: int, blocks: int) -> list[tuple]:
     """128-bit names of open suffixes; starts that ask for an answer are given as complements."""
     ids, keys = (batch[c].to_numpy() for c in ("doc_id", "key"))
     runs = [np.frombuffer(x, np.int32).reshape(-1, 2).astype(np.int64) for x in batch["runs"].to_pylist()]
@@ -362,7 +410,11 @@ def suffix_names(batch: pa.RecordBatch, buckets: int, low: int, high: int) -> li
     x = np.concatenate(taken)
     run = np.searchsorted(np.cumsum(sizes), x, "right")  # the run each of them is in
     at = x - (np.cumsum(sizes) - sizes)[run] + runs[run, 0]
-    return list(dealt([np.concatenate(ones), np.concatenate(twos)], ids, keys, doc[run], np.where(asks[x], ~at, at), buckets, low, high))
+    doc, asks, one, two = doc[run], asks[x], np.concatenate(ones), np.concatenate(twos)
+    _, tied, x = runs_of(one, two)
+    own = by_block(ids, keys, doc[tied & asks], ~at[tied & asks], blocks)
+    at = np.where(asks & ~tied, ~at, at)
+    return [*known(own, high - low), *dealt([one[x], two[x]], ids, keys, doc[x], at[x], buckets, low, high)]
 
 
 def spans(n: int, at: np.ndarray) -> np.ndarray:
@@ -375,13 +427,13 @@ def spans(n: int, at: np.ndarray) -> np.ndarray:
 
 
 def in_buckets(rows: DataFrame, fn: Callable, stash: Stash, name: str, partitions: int, blocks: int, passes: int, sampled: bool) -> list[DataFrame]:
-    """Names by ``fn(batch, buckets, low, high)``, dealt and sorted in so many passes."""
+    """Names by ``fn(batch, buckets, low, high, blocks)``, dealt and sorted in so many passes."""
     found = []
     for k in range(passes):
 
         def run(batches: Iterator[pa.RecordBatch], low=k * partitions) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                out = fn(batch, passes * partitions, low, low + partitions) if batch.num_rows else []
+                out = fn(batch, passes * partitions, low, low + partitions, blocks) if batch.num_rows else []
                 for at in range(0, len(out), 256):
                     yield batch_of(out[at : at + 256], NAMED, NAMED_KINDS)
 
@@ -398,15 +450,17 @@ def find_repeats(docs: DataFrame, stash: Stash) -> tuple[list[DataFrame], DataFr
     partitions = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-estimate // PARTITION_BYTES)))
     blocks = partitions * BLOCKS
     rows = keyed(docs, blocks)
+    total = rows.agg(F.sum(F.octet_length("body"))).first()[0] or 0  # plans don't always know their size
+    passes = -(-total // (partitions * BUCKET_BYTES))
 
-    def names(batch: pa.RecordBatch, buckets: int, low: int, high: int) -> list[tuple]:
+    def names(batch: pa.RecordBatch, buckets: int, low: int, high: int, blocks: int) -> list[tuple]:
         ids = np.array([-1 if x is None else x for x in batch["doc_id"].to_pylist()], np.int64)
-        return sample_names(ids, batch["key"].to_numpy(), batch["body"].to_pylist(), buckets, low, high)
+        return sample_names(ids, batch["key"].to_numpy(), batch["body"].to_pylist(), buckets, low, high, blocks)
 
-    found = in_buckets(rows.select("doc_id", "key", "body"), names, stash, "sample", partitions, blocks, SAMPLE_PASSES, True)
+    found = in_buckets(rows.select("doc_id", "key", "body"), names, stash, "sample", partitions, blocks, max(passes, SAMPLE_PASSES), True)
     left = stash.put("open", with_positions(rows, found, partitions, blocks, open_suffixes, OPEN, [pa.int64(), pa.int64(), *[pa.binary()] * 3], OPEN_SCHEMA))
     release(stash)
-    found += in_buckets(left, suffix_names, stash, "suffix", partitions, blocks, SUFFIX_PASSES, False)
+    found += in_buckets(left, suffix_names, stash, "suffix", partitions, blocks, max(passes, SUFFIX_PASSES), False)
     stash.drop("open")
     return found, rows, partitions, blocks
 
@@ -417,7 +471,7 @@ def repeat_digests(docs: DataFrame) -> DataFrame:
 
     def run(todo: list[tuple]) -> list[tuple]:
         out = []
-        for doc, _, text, at, _ in todo:
+        for doc, _, text, at in todo:
             runs = spans(len(text), at).tolist()
             out.append((doc, len(text), sum(b - a for a, b in runs), len(runs), hashlib.sha256(without(text, runs)).hexdigest()))
         return out
@@ -438,18 +492,15 @@ def without(text: bytes, runs: list[list[int]]) -> bytes:
 def dedup_text(docs: DataFrame, stash: Stash | None = None) -> DataFrame:
     """The documents without repeated bytes; a character that is cut goes whole. Column order stays."""
     found, rows, partitions, blocks = find_repeats(docs, stash or Stash(docs.sparkSession))
-    others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    rest = F.to_json(F.struct(*[F.col(f"`{c}`") for c in others]), {"ignoreNullFields": "false"}) if others else F.lit("{}")
+    others = [c for c in docs.columns if c != "text"]
+    extra = F.struct(F.col("text").isNull().alias("none"), F.struct(*[F.col(f"`{c}`") for c in others]).alias("rest"))
     key = F.xxhash64("doc_id", "text")
-    body = docs.select("doc_id", key.alias("key"), F.pmod(key, F.lit(blocks)).cast("int").alias("block"), F.coalesce("text", F.lit("")).cast("binary").alias("body"), F.struct(F.col("text").isNull().alias("none"), rest.alias("rest")).alias("x"))
-    body = body.select("doc_id", "key", "block", "body", F.to_json("x").alias("extra"))
+    text = F.coalesce("text", F.lit("")).cast("binary")
+    body = docs.select("doc_id", key.alias("key"), F.pmod(key, F.lit(blocks)).cast("int").alias("block"), text.alias("body"), extra.alias("extra"))
 
     def run(todo: list[tuple]) -> list[tuple]:
-        return [(doc, extra, without(text, spans(len(text), at).tolist()).decode("utf-8", "ignore")) for doc, _, text, at, extra in todo]
-
-    out = with_positions(body, found, partitions, blocks, run, ["doc_id", "extra", "text"], [pa.int64(), pa.string(), pa.string()], "doc_id long, extra string, text string", "extra")
-    out = out.withColumn("x", F.from_json("extra", "none boolean, rest string"))
-    out = out.withColumn("text", F.when(~F.col("x.none"), F.col("text")))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in others)
-    out = out.withColumn("rest", F.from_json("x.rest", kinds)) if others else out
-    return out.select(*[F.col(f"rest.`{c}`").alias(c) if c in others else F.col(c) for c in docs.columns])
+        return [(without(text, spans(len(text), at).tolist()).decode("utf-8", "ignore"),) for _, _, text, at in todo]
+
+    out = with_positions(body, found, partitions, blocks, run, ["text"], [pa.string()], "text string")
+    left = F.when(~F.col("extra.none"), F.col("text")).alias("text")
+    return out.select(*[left if c == "text" else F.col(f"extra.rest.`{c}`").alias(c) for c in docs.columns])
