@@ -39,3 +39,8 @@ EXPLICITNESS = {"stated": 1.0, "implied": 0.7, "inferred": 0.4}
 
 #: Questions about time contain one of these.
 TEMPORAL = ["current", "now", "today", "latest", "recent"]
+
+#: Patterns of a date beside the months, of amounts (money, share, long number) and of a model's number.
+DATE = r"\d{4}-\d{2}-\d{2}"
+MONEY, SHARE, LONG_NUMBER = r"\$[\d,]+", r"\d+%", r"\d{4,}"
+LEADING_NUMBER = r"^(1\.0|0?\.\d+|\d+\.\d+)"

@@ -11,8 +11,8 @@ from memlake.functions import phrases
 
 #: Letters and digits as the patterns mean them: ASCII, whatever the regex engine's word class is.
 _WORD = "[A-Za-z0-9_]"
-_DATE = rf"(?i)(?<!{_WORD})(\d{{4}}-\d{{2}}-\d{{2}}|{'|'.join(phrases.MONTHS)})(?!{_WORD})"
-_NUMBER = rf"\$[\d,]+|\d+%|(?<!{_WORD})\d{{4,}}(?!{_WORD})"
+_DATE = rf"(?i)(?<!{_WORD})({phrases.DATE}|{'|'.join(phrases.MONTHS)})(?!{_WORD})"
+_NUMBER = rf"{phrases.MONEY}|{phrases.SHARE}|(?<!{_WORD}){phrases.LONG_NUMBER}(?!{_WORD})"
 
 
 def words(text: Column) -> Column:
@@ -61,7 +61,7 @@ def importance(text: Column) -> Column:
 
 def parsed_importance(reply: Column, fallback: Column) -> Column:
     """A model's reply as importance: a leading decimal number, clamped and rounded, else the fallback."""
-    found = F.regexp_extract(F.trim(reply), r"^(1\.0|0?\.\d+|\d+\.\d+)", 1)
+    found = F.regexp_extract(F.trim(reply), phrases.LEADING_NUMBER, 1)
     number = F.when(found != "", found).try_cast("double")
     value = F.least(F.lit(1.0), F.greatest(F.lit(0.0), rounded(number)))
     return F.coalesce(F.when(number.isNotNull(), value), fallback)
