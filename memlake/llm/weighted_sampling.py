@@ -53,18 +53,19 @@ _SALTS = mixed((np.arange(2 * SAMPLES, dtype=np.uint64) + np.uint64(SEED)) * np.
 _NOTHING = np.full(SAMPLES, np.inf, np.float32), np.zeros(SAMPLES, np.uint64), np.zeros(SAMPLES, np.int32)
 
 
-def uniform(bits: np.ndarray, low: int, n: int) -> np.ndarray:
-    """n of the bits from ``low`` on as numbers between 0 and 1."""
-    part = ((bits >> np.uint64(low)) & np.uint64((1 << n) - 1)).astype(np.float32)
-    return (part + np.float32(0.5)) * np.float32(2.0**-n)
+#: ln of 2^64 and of 2^44, a rounding step more, so that no draw is zero.
+_WHOLE, _PART = np.float32(64 * np.log(2) + 1e-5), np.float32(44 * np.log(2) + 1e-5)
+_LOW, _HALF = np.uint64((1 << 22) - 1), np.float32(0.5)
 
 
 def draws(h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """r, ln c and b of terms (rows) and samples (columns). Gamma(2, 1) is the sum of two exponential draws."""
+    """r, ln c and b of terms (rows) and samples (columns). Gamma(2, 1) is minus the logarithm of a product of two
+    uniform numbers: two pieces of 22 random bits make r, two of 32 make c, 20 make b."""
     one, two = (mixed(h[:, None] ^ salts) for salts in _SALTS)
-    r = -np.log(uniform(one, 0, 22) * uniform(one, 22, 22))
-    log_c = np.log(-np.log(uniform(two, 0, 22) * uniform(two, 22, 22)))
-    return r, log_c, uniform(one, 44, 20)
+    r = _PART - np.log(((one & _LOW).astype(np.float32) + _HALF) * ((one >> np.uint64(22) & _LOW).astype(np.float32) + _HALF))
+    halves = two.view(np.uint32).reshape(*two.shape, 2).astype(np.float32) + _HALF
+    log_c = np.log(_WHOLE - np.log(halves[..., 0] * halves[..., 1]))
+    return r, log_c, ((one >> np.uint64(44)).astype(np.float32) + _HALF) * np.float32(2.0**-20)
 
 
 def better(x: tuple, y: tuple) -> tuple:
