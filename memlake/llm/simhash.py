@@ -23,7 +23,7 @@ table gives no rows; other columns are not read.
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -176,8 +176,8 @@ BANDS, MINIMA = 48, 5
 #: Equal minima that a candidate needs: a similarity of 0.8 gives 192 of 240 with a deviation of 6.2, so
 #: the odds of fewer than this are 1e-9.
 AGREE = 155
-#: Partners that one copy of a text's shingles is compared with in a task; rows of a block.
-BLOCK = 256
+#: Partners that one copy of a text's shingles is compared with in a task; rows and bytes of a block.
+BLOCK, BLOCK_BYTES = 256, 16 << 20
 _ODD = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS * MINIMA), np.uint64) * np.uint64(2) + np.uint64(1)
 #: Shingles multiplied together: the products stay in the processor's cache.
 PRODUCTS = 128
@@ -233,7 +233,7 @@ def similarity_of(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def text_marks(docs: DataFrame) -> DataFrame:
-    """id, text hashes h and g, word fingerprints, guard, band keys and sketch of each row."""
+    """id, text hashes h and g, word fingerprints, guard, band keys, sketch and bytes of each row."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = utf8(batch["text"])
@@ -246,10 +246,11 @@ def text_marks(docs: DataFrame) -> DataFrame:
             pa.array(np.frombuffer(b"".join(guards), ">i8").astype(np.int64)),
             pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, keys)]), pa.int32()), pa.array(np.concatenate(keys).view(np.int64))),
             pa.array(sketches, pa.binary()),
+            pa.array([len(t) for t in texts], pa.int64()),
         ]
-        return pa.RecordBatch.from_arrays([*[batch[c] for c in ("id", "h", "g")], *parts], ["id", "h", "g", "marks", "guard", "bands", "sketch"])
+        return pa.RecordBatch.from_arrays([*[batch[c] for c in ("id", "h", "g")], *parts], ["id", "h", "g", "marks", "guard", "bands", "sketch", "bytes"])
 
-    return map_batches(docs, run, "id long, h long, g long, marks array<long>, guard long, bands array<long>, sketch binary")
+    return map_batches(docs, run, "id long, h long, g long, marks array<long>, guard long, bands array<long>, sketch binary, bytes long")
 
 
 def shared_bands(texts: DataFrame, stash: Stash) -> DataFrame:
@@ -306,48 +307,91 @@ def verified(pairs: DataFrame, docs: DataFrame, numbered: DataFrame, similarity:
     return stash.put(f"links_{name}", rows.mapInArrow(run, "a long, b long"))
 
 
-def left_over(banded: DataFrame, found: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) of one band, in different components and not with the band's head, whose sketches agree.
-
-    Bands whose members are all in one component are done. The others' members are dealt to blocks of about
-    BLOCK rows by a hash, and each two blocks of a band meet in one task."""
-    label = F.coalesce("component", "n").alias("label")
-    rows = banded.where("n <> head").join(found, F.col("n") == F.col("node"), "left").select("n", "band", label)
-    counts = rows.groupBy("band").agg(F.count("*").alias("size"), F.min("label").alias("first"), F.max("label").alias("last")).where("first < last")
-    counts = counts.select("band", "size", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
-    rows = join_skewed(rows, counts, ["band"]).join(texts.select("n", "sketch"), "n")
-    own = F.pmod(F.xxhash64("n"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rows = rows.withColumn("own", own).withColumn("other", other).select("n", "band", "label", "sketch", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
-    rows = rows.repartition("band", "low", "high").sortWithinPartitions("band", "low", "high", "n")
+def cells_of(rows: DataFrame, fn: Callable[[list[dict]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``fn`` of the rows of each cell (head, low, high), in the order of n."""
+    cell = ("head", "low", "high")
+    dealt = rows.repartition(*cell).sortWithinPartitions(*cell, "n")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, held = None, []
-
-        def near() -> Iterator[pa.RecordBatch]:
-            n, label, own = (np.array(c, np.int64) for c in list(zip(*held, strict=True))[:3])
-            low, high, marks = last[1], last[2], np.frombuffer(b"".join([x[3] for x in held]), np.uint8).reshape(len(held), -1)
-            for k in range(len(held)):
-                # Rows of one block meet among themselves where both blocks are the same one.
-                rest = np.flatnonzero((label[k + 1 :] != label[k]) & ((own[k + 1 :] != own[k]) if low != high else True)) + k + 1
-                rest = rest[(marks[rest] == marks[k]).sum(axis=1) >= AGREE]
-                if len(rest):
-                    yield pa.RecordBatch.from_arrays([pa.array(n[rest]), pa.array(np.full(len(rest), n[k]))], ["a", "b"])
-
         for batch in batches:
-            cells = zip(*[batch[c].to_pylist() for c in ("band", "low", "high")], strict=True)
-            values = zip(*[batch[c].to_pylist() for c in ("n", "label", "own", "sketch")], strict=True)
-            for cell, value in zip(cells, values, strict=True):
-                if cell != last:
+            for row in batch.to_pylist():
+                now = tuple(row[c] for c in cell)
+                if now != last:
                     if len(held) > 1:
-                        yield from near()
-                    last, held = cell, []
-                held.append(value)
+                        yield from fn(held)
+                    last, held = now, []
+                if not held or row["n"] != held[-1]["n"]:  # a repeated row of the input
+                    held.append(row)
         if len(held) > 1:
-            yield from near()
+            yield from fn(held)
+
+    bounded_batches(rows.sparkSession)
+    return dealt.mapInArrow(run, schema)
 
-    bounded_batches(banded.sparkSession)
-    return rows.mapInArrow(run, "a long, b long").distinct()
+
+def partners(rows: list[dict]) -> Iterator[tuple[int, np.ndarray]]:
+    """Of rows of two blocks: each row and those behind it that it may be alike to. Rows of one block meet among
+    themselves where both blocks are the same one."""
+    marks = np.frombuffer(b"".join([r["sketch"] for r in rows]), np.uint8).reshape(len(rows), -1)
+    label, own = (np.array([r[c] for r in rows]) for c in ("label", "own"))
+    for k in range(len(rows) - 1):
+        other = label[k + 1 :] != label[k]
+        if rows[0]["low"] != rows[0]["high"]:
+            other &= own[k + 1 :] != own[k]
+        rest = np.flatnonzero(other) + k + 1
+        yield k, rest[(marks[rest] == marks[k]).sum(axis=1) >= AGREE]
+
+
+def left_over(stars: DataFrame, found: DataFrame, texts: DataFrame, docs: DataFrame, similarity: float, stash: Stash) -> DataFrame:
+    """Links between members of one head's bands that are in different components (``found``).
+
+    Two texts of one band have its head in common, so all pairs of bands are pairs of heads' groups. Groups whose
+    members are all in one component are done. The others' members are dealt to blocks of about BLOCK rows and
+    BLOCK_BYTES by a hash, and each two blocks of a group meet in one task, first with sketches alone, then with the
+    texts of those that have a partner of a like sketch. A task gives the links of a spanning forest, so that no rows
+    grow with the square of a group."""
+    label = F.coalesce("component", "n").alias("label")
+    members = stars.select(F.col("a").alias("n"), F.col("b").alias("head")).join(texts.select("n", "bytes"), "n")
+    members = stash.put("members", members.join(found, F.col("n") == F.col("node"), "left").select("n", "head", "bytes", label))
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("bytes") / BLOCK_BYTES)).cast("int")
+    groups = members.groupBy("head").agg(F.count("*").alias("size"), blocks.alias("blocks"), F.min("label").alias("first"), F.max("label").alias("last"))
+    rows = join_skewed(members, stash.put("groups", groups.where("first < last").select("head", "size", "blocks")), ["head"])
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("n"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("head", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "n", "label", "own")
+    schema = "head long, low int, high int, n long, label long, own int"
+
+    def near(held: list[dict]) -> Iterator[pa.RecordBatch]:
+        some = np.zeros(len(held), bool)
+        for k, rest in partners(held):
+            some[rest] = True
+            some[k] |= len(rest) > 0
+        if some.any():
+            names = ["head", "low", "high", "n", "label", "own"]
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array([held[k][c] for k in np.flatnonzero(some)], t) for c, t in zip(names, kinds, strict=True)], names)
+
+    near_rows = stash.put("near", cells_of(rows.join(texts.select("n", "sketch"), "n"), near, schema))
+
+    def links(held: list[dict]) -> Iterator[pa.RecordBatch]:
+        sets, group, out = [shingles((r["text"] or "").encode()) for r in held], list(range(len(held))), []
+
+        def of(k: int) -> int:
+            while group[k] != k:
+                group[k] = group[group[k]]
+                k = group[k]
+            return k
+
+        for k, rest in partners(held):
+            for j in rest.tolist():
+                if of(k) != of(j) and similarity_of(sets[k], sets[j]) >= similarity:
+                    group[of(j)] = of(k)
+                    out.append((held[j]["n"], held[k]["n"]))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
+
+    whole = docs.join(near_rows.join(texts.select("n", "id", "h", "g", "sketch"), "n"), ["id", "h", "g"]).drop("id", "h", "g")
+    return stash.put("links_left", cells_of(whole, links, "a long, b long"))
 
 
 def near_copies(docs: DataFrame, similarity: float = SIMILARITY, stash: Stash | None = None) -> DataFrame:
@@ -363,8 +407,8 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, stash: Stash |
        shingles propose these, as their odds depend on the similarity alone.
     2. Each band pairs its members with one head, so a group of m copies gives about m pairs and not m^2;
        pairs with unlike sketches go, the others' texts are compared exactly. Components of these links.
-    3. What bands still hold in more than one component is compared pair by pair (``left_over``), so nothing
-       rests on the choice of heads.
+    3. What a head's bands still hold in more than one component is compared block by block (``left_over``), so
+       nothing rests on the choice of heads.
 
     Cases: null, empty and blank texts are near copies of each other; a null doc_id counts as the largest;
     rows that repeat id and text stay once (``keep_one``); an empty table gives no rows."""
@@ -372,18 +416,18 @@ def near_copies(docs: DataFrame, similarity: float = SIMILARITY, stash: Stash |
     stash = stash or Stash(spark)
     keys = [F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), F.xxhash64("text").alias("h"), F.xxhash64(F.lit(1), F.col("text")).alias("g")]
     rows = stash.put("marks", text_marks(docs.select(*keys, "text")))
-    firsts = [F.first(c).alias(c) for c in ("marks", "guard", "bands", "sketch")]
+    firsts = [F.first(c).alias(c) for c in ("marks", "guard", "bands", "sketch", "bytes")]
     texts = rows.groupBy("h", "g").agg(F.min("id").alias("id"), F.count("*").alias("copies"), *firsts)
     texts = stash.put("texts", texts.withColumn("n", F.monotonically_increasing_id()))
     each = texts.select(F.col("n").alias("id"), "guard", F.posexplode("marks").alias("family", "fingerprint"))
     grid = stash.put("grid", grid_links(each, RADIUS, GUARD))
     banded = shared_bands(texts, stash)
-    stars = banded.where("n <> head").select(F.col("n").alias("a"), F.col("head").alias("b"))
+    stars = stash.put("stars", banded.where("n <> head").select(F.col("n").alias("a"), F.col("head").alias("b")).distinct())
     first = alike(stars.unionByName(grid.where("a <> b")).distinct(), texts)
     numbered, bodies = texts.select("n", "id", "h", "g"), docs.select(*keys, "text")
     links = verified(first, bodies, numbered, similarity, stash, "heads")
     found = stash.put("found", components(links, stash))
-    more = verified(left_over(banded, found, texts), bodies, numbered, similarity, stash, "left")
+    more = left_over(stars, found, texts, bodies, similarity, stash)
     if not more.isEmpty():
         found = stash.put("all", components(links.unionByName(more), stash))
     group = F.coalesce("component", "n").alias("group")

@@ -105,6 +105,24 @@ def test_suffix_dedup_keeps_columns(docs):
     assert got[40].text is None and got[41].text == "" and got[43].text == "one" and got[43].size == 3
 
 
+def test_suffix_dedup_carries_any_column(spark):
+    """Values of other columns come back as they were, microseconds and nested ones too."""
+    own = spark.createDataFrame([(k, prose(60, k % 2) + f" {k}") for k in range(4)], "doc_id long, text string")
+    own = own.withColumns({"ts": F.lit("2024-01-02 03:04:05.123456").cast("timestamp"), "rest": F.struct(F.lit(1.5).cast("decimal(9,3)").alias("text"), F.array(F.lit(None).cast("date")).alias("none"))})
+    own = own.withColumn("extra", F.map_from_arrays(F.array(F.lit("a")), F.array("doc_id"))).select("extra", "text", "ts", "doc_id", "rest")
+    out = suffix_dedup.dedup_text(own)
+    assert out.dtypes == own.dtypes
+    keep = lambda df: sorted(map(str, df.drop("text").collect()))
+    assert keep(out) == keep(own) and all(len(r.text) < 250 for r in out.collect())
+
+
+def test_suffix_dedup_in_more_rounds(docs, monkeypatch):
+    """Buckets of a few bytes of input: as many rounds as it takes, the same result."""
+    plain = rows(suffix_dedup.repeat_digests(docs))
+    monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 5 << 10)
+    same(rows(suffix_dedup.repeat_digests(docs)), plain)
+
+
 # 2: near duplicates
 
 
@@ -751,3 +769,38 @@ def test_line_query_equals_sql(spark):
     from memlake.llm import queries
 
     compare(spark, connection(), queries.queries()["op8_line_dedup"], json.loads(json.dumps(queries.oracle_sql()["op8_line_dedup"])))
+
+
+def test_fingerprints_of_long_texts_are_counted_in_parts(monkeypatch):
+    text = prose(300, 5)
+    whole = simhash.word_marks(text.encode())
+    monkeypatch.setattr(simhash, "TOGETHER", 7)
+    assert simhash.fingerprint(text.encode()) == brute_fingerprint(text)
+    assert simhash.word_marks(text.encode()).tolist() == whole.tolist()
+
+
+@pytest.mark.parametrize("empty", [False, True])
+def test_pipeline_on_awkward_tables(spark, docs, none, empty):
+    """Nulls, repeated rows and columns whose names the operators use inside; and a table without rows."""
+    start = none if empty else docs
+    now = start
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = Stash(spark).put(name, stage(spark, now, "/root/testdata/sf0.001"))
+        assert now.columns == start.columns
+    kept = now.collect()
+    assert len({(r.doc_id, r.text) for r in kept}) == len(kept)
+    if empty:
+        assert not kept
+    else:
+        assert {r.bucket for r in kept} == {2} and {r.version for r in kept} == {"v"} and 3 in {r.doc_id for r in kept}
+    packed = corpus_pipeline.STAGES[-1][1](spark, now, "/root/testdata/sf0.001")
+    assert packed.select("doc_id").distinct().count() == len({r.doc_id for r in kept})
+
+
+def test_equal_texts_with_clashing_labels(spark):
+    """Repeated ids and equal texts count once in the fitted sample; all rows get a verdict."""
+    data, labels = labelled(150)
+    marks = spark.createDataFrame(labels + [(d, 1 - q, 1 - t) for d, q, t in labels[:20]], "doc_id long, quality int, toxic int")
+    df = frame(spark, data + data[:30] + [(5000 + k, data[0][1]) for k in range(40)])
+    got = quality.judge(df, marks)
+    assert got.count() == 220 and got.where("kept IS NULL").isEmpty()
