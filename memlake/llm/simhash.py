@@ -259,8 +259,10 @@ def shared_bands(texts: DataFrame, stash: Stash) -> DataFrame:
     keys = texts.select("n", F.explode("bands").alias("band"))
     counts = keys.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
     keys = stash.put("shared", join_skewed(keys, stash.put("counts", counts), ["band"]))
-    popular = keys.groupBy("n").agg(F.sum("size").alias("popularity"))
-    heads = keys.join(popular, "n").groupBy("band").agg(F.max_by("n", F.struct("popularity", -F.col("n"))).alias("head"), F.first("size").alias("size"))
+    # A text has BANDS bands at most, so they can travel with their sum.
+    popular = keys.groupBy("n").agg(F.sum("size").alias("popularity"), F.collect_list(F.struct("band", "size")).alias("own"))
+    popular = popular.select("n", "popularity", F.explode("own").alias("x")).select("n", "popularity", "x.*")
+    heads = popular.groupBy("band").agg(F.max_by("n", F.struct("popularity", -F.col("n"))).alias("head"), F.first("size").alias("size"))
     return stash.put("banded", join_skewed(keys.select("n", "band"), stash.put("heads", heads), ["band"]).drop("size"))
 
 
