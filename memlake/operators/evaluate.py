@@ -26,23 +26,27 @@ def claim_index(validated: DataFrame) -> DataFrame:
     return validated.where("reason IS NULL").select("window_id", "id", F.col("canonical_text").alias("chunk"))
 
 
+def _blocks(questions: DataFrame, key: str, at_most: int) -> list[DataFrame]:
+    """The questions; if there are more than ``at_most``, dealt by a hash of the key into blocks of half as many on average."""
+    if questions.limit(at_most + 1).count() <= at_most:
+        return [questions]
+    blocks = 2 * questions.count() // at_most + 1
+    of = F.pmod(F.xxhash64(key), F.lit(blocks))
+    return [questions.where(of == b) for b in range(blocks)]
+
+
 def top_contexts(questions: DataFrame, contexts: DataFrame, k: int = 3, max_questions: int = 10_000) -> DataFrame:
     """The k most similar contexts (context_id, embedding) of each question (question_id, question_vector).
 
     Every question meets every context: up to ``max_questions`` are broadcast at once; more are dealt by a
     hash of their id into blocks of half as many on average, which are broadcast one by one."""
-    n = questions.limit(max_questions + 1).count()
-    blocks = 1 if n <= max_questions else 2 * questions.count() // max_questions + 1
     order = Window.partitionBy("question_id").orderBy(F.desc("score"), "context_id")
 
     def best(block: DataFrame) -> DataFrame:
         scored = contexts.crossJoin(F.broadcast(block)).select("question_id", "context_id", V.cosine(F.col("question_vector"), F.col("embedding")).alias("score"))
         return scored.withColumn("position", F.row_number().over(order)).where(F.col("position") <= k)
 
-    if blocks == 1:
-        return best(questions)
-    of = F.pmod(F.xxhash64("question_id"), F.lit(blocks))
-    return reduce(DataFrame.unionByName, [best(questions.where(of == b)) for b in range(blocks)])
+    return reduce(DataFrame.unionByName, map(best, _blocks(questions, "question_id", max_questions)))
 
 
 #: What the model is told when it answers and when it judges.
@@ -75,22 +79,29 @@ def top1_contains(results: DataFrame, expected: DataFrame) -> DataFrame:
     return expected.join(first, "query_id", "left").select("query_id", hit.alias("correct"))
 
 
-def noise_test(signals: DataFrame, noise: DataFrame) -> DataFrame:
+def noise_test(signals: DataFrame, noise: DataFrame, max_questions: int = 100_000) -> DataFrame:
     """Top-1 results of each signal's question among all signals and noise rows, by keyword score.
 
-    ``signals``: query_id, term, content; ``noise``: content. A term counts in every word that contains it, as in
-    recall. A row meets only the questions whose term it holds: words are cut into all their stretches of the terms'
-    lengths (few: one each a place), and these are joined with the terms, so nothing is compared in pairs."""
+    ``signals``: query_id, term, content; ``noise``: content; repeated rows count once. A term counts in every word
+    that contains it, as in recall. A row meets only the questions whose term it holds: its words are cut into all
+    their stretches of the terms' lengths (few: one each a place), which probe the broadcast terms in the task that
+    read the row; there its hits are counted, and only a task's best row of each question is exchanged. More than
+    ``max_questions`` are broadcast in blocks."""
     rows = signals.select("content").unionByName(noise.select("content"))
-    sizes = F.broadcast(signals.agg(F.array_sort(F.collect_set(F.length("term"))).alias("sizes")))
-    words = rows.withColumn("words", F.split(F.lower("content"), r"\s+", -1)).withColumn("n", F.size("words"))
-    each = words.select("content", "n", F.explode("words").alias("word")).crossJoin(sizes)  # one row
-    cut = F.expr("array_distinct(flatten(transform(filter(sizes, k -> k <= length(word)), k -> transform(sequence(1, length(word) - k + 1), i -> substring(word, i, k)))))")
-    held = each.select("content", "n", F.explode(cut).alias("term")).groupBy("content", "n", "term").agg(F.count("*").alias("hits"))
-    tf = F.col("hits") / F.col("n")
-    scored = held.join(signals.select("query_id", F.lower("term").alias("term")), "term").withColumn("score", F.least(F.lit(1.0), tf * F.log(1 + F.lit(10.0) / (1 + tf * 10)) * 5))
+    asked = signals.select("query_id", F.lower("term").alias("term"))
+    sizes = F.broadcast(asked.agg(F.array_sort(F.collect_set(F.length("term"))).alias("sizes")))
+    words = rows.withColumn("words", F.split(F.lower("content"), r"\s+", -1)).crossJoin(sizes)  # one row
+    stretches = "flatten(transform(filter(sizes, k -> k <= length(word)), k -> transform(sequence(1, length(word) - k + 1), i -> substring(word, i, k))))"
+    held = words.select("content", "words", F.explode(F.expr(f"array_distinct(flatten(transform(array_distinct(words), word -> {stretches})))")).alias("term"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "content")
-    return scored.withColumn("position", F.row_number().over(order)).where("position = 1").select("query_id", "content", "position")
+
+    def best(block: DataFrame) -> DataFrame:
+        hits = F.size(F.filter("words", lambda word: word.contains(F.col("term"))))
+        found = held.join(F.broadcast(block), "term").select("query_id", "content", (hits / F.size("words")).alias("tf"))
+        scored = found.select("query_id", "content", F.least(F.lit(1.0), F.col("tf") * F.log(1 + F.lit(10.0) / (1 + F.col("tf") * 10)) * 5).alias("score"))
+        return scored.withColumn("position", F.row_number().over(order)).where("position = 1").select("query_id", "content", "position")
+
+    return reduce(DataFrame.unionByName, map(best, _blocks(asked, "query_id", max_questions)))
 
 
 def answered(questions: DataFrame, index: DataFrame, embedder: Embedder, generator: Generator, k: int, mode: str, judge: Generator | None = None) -> DataFrame:

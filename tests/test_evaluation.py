@@ -40,6 +40,39 @@ def test_noise(spark):
     assert not evaluate.top1_contains(evaluate.noise_test(signals.limit(0), noise), expected).first().correct
 
 
+def test_noise_meets_questions_where_it_is_read(spark):
+    """Repeated rows count once, and what is exchanged doesn't grow with the rows' stretches."""
+    asked = spark.createDataFrame([(0, "The", ""), (1, "ab", ""), (2, "b c", ""), (3, "zz", "Zz"), (4, "the", None)], "query_id long, term string, content string")
+    noise = spark.createDataFrame([("the then x y z w v u t s",)] * 4 + [("THE the a b c d e f g",), ("abab ab cab",), ("x ab",), (None,)], "content string")
+    want = [(0, "THE the a b c d e f g"), (1, "abab ab cab"), (3, "Zz"), (4, "THE the a b c d e f g")]
+    found = evaluate.noise_test(asked, noise)
+    assert sorted((r.query_id, r.content) for r in found.collect()) == want
+    assert sorted((r.query_id, r.content) for r in evaluate.noise_test(asked, noise, max_questions=2).collect()) == want
+    repeated = spark.createDataFrame([("the" + " x" * 29,)] * 2 + [("the" + " y" * 19,)], "content string")  # 1 of 30, 1 of 20
+    assert [r.content for r in evaluate.noise_test(asked.where("query_id = 0"), repeated).collect()] == ["the" + " y" * 19]
+    many = noise.crossJoin(spark.range(50)).select(F.concat("content", F.lit(" more"), "id").alias("content"))
+    exchanged = evaluate.noise_test(asked, many)
+    exchanged.collect()
+    written = _exchanged_rows(exchanged)
+    assert written and sum(written) <= 5 * many.rdd.getNumPartitions() + 20
+
+
+def _exchanged_rows(df) -> list[int]:
+    """Rows that each shuffle of an executed plan wrote."""
+    found, todo = [], [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        p = todo.pop()
+        name = p.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            todo.append(p.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            todo.append(p.plan())
+        elif name == "ShuffleExchangeExec":
+            found.append(p.metrics().apply("shuffleRecordsWritten").value())
+        todo += [p.children().apply(k) for k in range(p.children().size())]
+    return found
+
+
 def test_ab_test(spark):
     turns = spark.createDataFrame([("w1", 0, "user", "Alice works at Acme"), ("w2", 0, "user", "the weather is fine")], "window_id string, turn int, role string, content string")
     valid = claims.validate(fixtures.claims(spark), fixtures.entities(spark))
