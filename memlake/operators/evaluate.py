@@ -10,8 +10,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from memlake.functions import vectors as V
 from memlake.functions.text import exact_match
+from memlake.operators.nearest import nearest
 from memlake.providers import Embedder, Generator
 
 
@@ -38,13 +38,12 @@ def _blocks(questions: DataFrame, key: str, at_most: int) -> list[DataFrame]:
 def top_contexts(questions: DataFrame, contexts: DataFrame, k: int = 3, max_questions: int = 10_000) -> DataFrame:
     """The k most similar contexts (context_id, embedding) of each question (question_id, question_vector).
 
-    Every question meets every context: up to ``max_questions`` are broadcast at once; more are dealt by a
-    hash of their id into blocks of half as many on average, which are broadcast one by one."""
+    Every question meets every context, in matrix products (``nearest``): up to ``max_questions`` go to all tasks at
+    once; more are dealt by a hash of their id into blocks of half as many on average, which go one by one."""
     order = Window.partitionBy("question_id").orderBy(F.desc("score"), "context_id")
 
     def best(block: DataFrame) -> DataFrame:
-        scored = contexts.crossJoin(F.broadcast(block)).select("question_id", "context_id", V.cosine(F.col("question_vector"), F.col("embedding")).alias("score"))
-        return scored.withColumn("position", F.row_number().over(order)).where(F.col("position") <= k)
+        return nearest(block, contexts, k).withColumn("position", F.row_number().over(order)).where(F.col("position") <= k)
 
     return reduce(DataFrame.unionByName, map(best, _blocks(questions, "question_id", max_questions)))
 

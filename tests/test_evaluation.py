@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from memlake import schema as S
 from memlake.api import MemoryLake
+from memlake.functions import vectors as V
 from memlake.operators import claims, evaluate, recall, stats
 from memlake.plans import fixtures
 from memlake.providers import extracted, hash_embedder, no_reply, parsed_conflicts, parsed_strings
@@ -121,3 +123,32 @@ def test_top_contexts_in_blocks(spark):
     contexts = vectors.withColumnRenamed("vec_id", "context_id")
     whole = sorted(evaluate.top_contexts(asked, contexts, 3).collect())
     assert len(whole) == 180 and sorted(evaluate.top_contexts(asked, contexts, 3, max_questions=25).collect()) == whole
+
+
+def _by_cosine(asked, contexts, k):
+    """The k best by the column expression over all pairs."""
+    pairs = contexts.crossJoin(asked).select("question_id", "context_id", V.cosine(F.col("question_vector"), F.col("embedding")).alias("score"))
+    order = Window.partitionBy("question_id").orderBy(F.desc("score"), "context_id")
+    return pairs.withColumn("position", F.row_number().over(order)).where(F.col("position") <= k)
+
+
+def _texts(df) -> list[str]:
+    return sorted(str((r.question_id, r.context_id, r.score, r.position)) for r in df.collect())
+
+
+def test_top_contexts_are_those_of_all_pairs(spark):
+    """Copies, nulls, other dimensions, numbers at the ends of the doubles; no rows for pairs."""
+    nan, inf = float("nan"), float("inf")
+    odd = [None, [], [0.0, 0.0], [1.0, None, 2.0], [nan, 1.0], [inf, 1.0], [-inf, 2.0], [1e200, 1e200], [1e-200, 1e-200], [5e-162, 7e-162], [-1.0], [1.0, 2.0, 3.0, 4.0], [2.0, 4.0, 6.0, 8.0]]
+    plain = tables.embeddings(spark, "/root/testdata/sf0.001").limit(300).collect()
+    near = [[1.0, 1e-9 * k] for k in range(12)]  # equal in single precision
+    some = [r.embedding for r in plain] + [plain[0].embedding] * 30 + near
+    for vectors in (some, odd, odd + some):
+        rows = [(f"v{k * 7919 % 1009:04}", v) for k, v in enumerate(vectors)]
+        contexts = spark.createDataFrame(rows, "context_id string, embedding array<double>").repartition(3).localCheckpoint()
+        asked = contexts.where("substr(context_id, 5) IN ('0', '5') OR size(embedding) < 5 OR embedding IS NULL").select(F.xxhash64("context_id").alias("question_id"), F.col("embedding").alias("question_vector"))
+        for k in (1, 3, 40):
+            assert _texts(evaluate.top_contexts(asked, contexts, k)) == _texts(_by_cosine(asked, contexts, k))
+    plan = evaluate.top_contexts(asked, contexts, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+    assert not evaluate.top_contexts(asked.limit(0), contexts, 3).count() and not evaluate.top_contexts(asked, contexts.limit(0), 3).count()
