@@ -91,23 +91,27 @@ class Best:
         self.q.widen(width)
         for at in range(0, len(c.norm), SLICE):
             kept = c.firsts(slice(at, min(at + SLICE, len(c.norm))), self.k)
+            units = c.unit[kept]
             for first in range(0, len(self.q.norm), TILE):
-                self._tile(slice(first, min(first + TILE, len(self.q.norm))), c, kept, start)
+                self._tile(slice(first, min(first + TILE, len(self.q.norm))), c, kept, units, start)
 
-    def _tile(self, tile: slice, c: Vectors, kept: np.ndarray, start: int) -> None:
-        near = self.q.unit[tile] @ c.unit[kept].T
+    def _tile(self, tile: slice, c: Vectors, kept: np.ndarray, units: np.ndarray, start: int) -> None:
+        near, odd = self.q.unit[tile] @ units.T, c.odd[kept]
         off = np.float32((self.q.unit.shape[1] + 8) * 2.0**-22)  # over twice what single precision can be off by
-        near[:, c.odd[kept]] = -np.inf
+        if odd.any():
+            near[:, odd] = -np.inf
         kind, last = self.kind[tile, -1], self.score[tile, -1]
         least = np.select([kind == NAN, kind == NUMBER], [np.inf, last], -np.inf).astype(np.float32) - off
         if len(kept) >= self.k and (open_ := np.flatnonzero(least == -np.inf)).size:
             least[open_] = np.partition(near[open_], len(kept) - self.k, axis=1)[:, len(kept) - self.k] - 2 * off
         may = near >= least[:, None]
-        may[:, c.odd[kept]] = True
+        if odd.any():
+            may[:, odd] = True
         may[self.q.odd[tile]] = True
-        i, j = np.nonzero(may)
-        for part in range(0, len(i), 1 << 20):  # whole tiles, where all vectors are odd
-            self._merge(i[part : part + (1 << 20)] + tile.start, c, kept[j[part : part + (1 << 20)]], start)
+        some = np.flatnonzero(may.any(axis=1))  # few, once the best are near
+        if some.size:
+            i, j = np.divmod(np.flatnonzero(may[some]), len(kept))
+            self._merge(some[i] + tile.start, c, kept[j], start)
 
     def _merge(self, i: np.ndarray, c: Vectors, j: np.ndarray, start: int) -> None:
         score, kind = _scores(self.q, i, c, j)
